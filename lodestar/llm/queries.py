@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import fingerprints, jaccard, licenses, packing, pieces, quality, tokens, toxicity
+from lodestar.llm import fingerprints, jaccard, licenses, lm, packing, pieces, quality, substrings, tokens, toxicity
 from lodestar.llm.common import crc_remainder, documents
 
 
@@ -25,6 +25,14 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited(documents(spark, sf_dir))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(documents(spark, sf_dir).select("doc_id", "text"), _vocabulary("byte_bpe_50k.json"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(documents(spark, sf_dir))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     carry = {"doc_id": F.col("doc_id").cast("long"), "n_bytes": F.octet_length(F.coalesce("text", F.lit(""))).cast("long")}
     counted = tokens.count_tokens(documents(spark, sf_dir).select("doc_id", "text"), _vocabulary("word_bpe_49k.json"), carry=carry)
@@ -57,8 +65,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_license_scan, op2_document_fingerprints, op5_token_counts, op6_sentencepiece, op7_ngram_jaccard_join, op8_toxicity, op9_quality_rules, op10_best_fit_packing]
-    return {f.__name__: f for f in own}
+    import corpus_pipeline
+
+    own = [op1_license_scan, op2_document_fingerprints, op3_lm_scoring, op4_substring_dedup, op5_token_counts, op6_sentencepiece, op7_ngram_jaccard_join, op8_toxicity, op9_quality_rules, op10_best_fit_packing]
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 #: Links and their components from the definition: all five-word shingles, joined.
