@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lodestar.functions import text as T
 
@@ -29,7 +30,7 @@ def in_accuracy(df: DataFrame, prediction: str, answer_col: str | None = None) -
     return df.withColumn("correct", T.contains_any(F.coalesce(F.col(prediction), F.lit("")), references(df, answer_col)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def char_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])

@@ -60,7 +60,7 @@ def hash_split(df: DataFrame, key: str, seed: str | int, share: float, least: in
     """
     n = df.count()
     want = n if share >= 1 else max(least, int(n * share))
-    if want >= n and share < 1:
+    if n and want >= n and share < 1:
         raise ValueError("the split leaves no training rows")
     order = hash_order(F.col(key), seed)
     if want == 0:

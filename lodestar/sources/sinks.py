@@ -19,7 +19,8 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Columns in order of their names, null as empty."""
-    df.select(*[F.col(f"`{c}`") for c in sorted(df.columns)]).write.mode(mode).option("header", True).option("emptyValue", "").csv(path)
+    kinds = dict(df.dtypes)
+    df.select(*[F.col(f"`{c}`").cast("string").alias(c) if kinds[c] == "void" else F.col(f"`{c}`") for c in sorted(df.columns)]).write.mode(mode).option("header", True).option("emptyValue", "").csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
