@@ -274,6 +274,16 @@ def jaccard_classes(df: DataFrame, text: str = "text", threshold: float = THRESH
 
 
 def keep_one(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of df whose doc_id is their class's least; every column stays. Of repeated rows with that id one stays."""
-    kept = jaccard_classes(df, text).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    return df.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The rows of df whose doc_id is their class's least; every column stays.
+
+    Of rows with equal doc_id and text one stays. Rows without a doc_id stay unless their class has a document with one.
+    """
+    found = jaccard_classes(df, text)
+    kept = found.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+    rows = df.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", text])
+    body = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    nameless = df.where(F.col("doc_id").isNull())
+    if nameless.isEmpty():
+        return rows
+    known = df.where(F.col("doc_id").isNotNull())
+    return rows.unionByName(nameless.join(known.select(body.alias("_copy")).distinct(), body == F.col("_copy"), "left_anti").dropDuplicates([text]))

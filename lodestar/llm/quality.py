@@ -123,19 +123,19 @@ def _group(name: str) -> Column:
 
 
 def fences(counted: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """One row per (q_lang, q_source) with lo_/hi_ fences of each rate. Rows that fail the base rule don't shape them."""
-    rows = counted.where(~base_failed()).select(_group(lang).alias("q_lang"), _group(source).alias("q_source"), *[rate(r).alias(r) for r in RATES])
-    fine = rows.groupBy("q_lang", "q_source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in RATES])
+    """One row per (__lang, __source) with __lo_/__hi_ fences of each rate. Rows that fail the base rule don't shape them."""
+    rows = counted.where(~base_failed()).select(_group(lang).alias("__lang"), _group(source).alias("__source"), *[rate(r).alias(r) for r in RATES])
+    fine = rows.groupBy("__lang", "__source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in RATES])
     merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in RATES]]
-    wide = fine.groupBy("q_lang").agg(*merged).select("q_lang", F.col("n").alias("n_lang"), *[F.col(r).alias(f"{r}_lang") for r in RATES])
+    wide = fine.groupBy("__lang").agg(*merged).select("__lang", F.col("n").alias("n_lang"), *[F.col(r).alias(f"{r}_lang") for r in RATES])
     every = fine.agg(*merged).select(*[F.col(r).alias(f"{r}_all") for r in RATES])  # one row
-    out = fine.join(wide, "q_lang").crossJoin(F.broadcast(every))
-    cols = [F.col("q_lang"), F.col("q_source")]
+    out = fine.join(wide, "__lang").crossJoin(F.broadcast(every))
+    cols = [F.col("__lang"), F.col("__source")]
     for r, (_, _, margin, lower) in RATES.items():
         sketch = F.when(F.col("n") >= MIN_GROUP, F.col(r)).when(F.col("n_lang") >= MIN_GROUP, F.col(f"{r}_lang")).otherwise(F.col(f"{r}_all"))
         q25, q75 = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        cols.append((q75 + SPREAD * (q75 - q25) + margin).alias(f"hi_{r}"))
-        cols.append((q25 - SPREAD * (q75 - q25) - margin if lower else F.lit(0.0)).alias(f"lo_{r}"))
+        cols.append((q75 + SPREAD * (q75 - q25) + margin).alias(f"__hi_{r}"))
+        cols.append((q25 - SPREAD * (q75 - q25) - margin if lower else F.lit(0.0)).alias(f"__lo_{r}"))
     return out.select(*cols)
 
 
@@ -147,8 +147,8 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source:
     table = lines.collect() if lines.count() <= BROADCAST_GROUPS else None
     if table is not None:
         lines = F.broadcast(df.sparkSession.createDataFrame(table, lines.schema))
-    rows = with_counts(df, text).select("*", base_failed().alias("base_failed"), *[rate(r).alias(r) for r in RATES], _group(lang).alias("q_lang"), _group(source).alias("q_source"))
+    rows = with_counts(df, text).select("*", base_failed().alias("base_failed"), *[rate(r).alias(r) for r in RATES], _group(lang).alias("__lang"), _group(source).alias("__source"))
     within = F.lit(True)
     for r in RATES:
-        within &= F.coalesce(F.col(r).between(F.col(f"lo_{r}"), F.col(f"hi_{r}")), F.lit(True))
-    return rows.join(lines, ["q_lang", "q_source"], "left").select(*[f"`{c}`" for c in df.columns], *COUNTS, *RATES, "base_failed", (~F.col("base_failed") & within).alias("kept"))
+        within &= F.coalesce(F.col(r).between(F.col(f"__lo_{r}"), F.col(f"__hi_{r}")), F.lit(True))
+    return rows.join(lines, ["__lang", "__source"], "left").select(*[f"`{c}`" for c in df.columns], *COUNTS, *RATES, "base_failed", (~F.col("base_failed") & within).alias("kept"))

@@ -157,4 +157,4 @@ def count_tokens(df: DataFrame, tokenizer: str, cache: str | None = None, text:
     kept = [F.col(f"`{c}`") for c in df.columns if c != out] if carry is None else [v.alias(k) for k, v in carry.items()]
     rows = df.select(*kept, digest.alias("_digest"))
     names = [c for c in rows.columns if c != "_digest"]
-    return rows.join(known, rows["_digest"] == known["content"], "left").select(*[rows[f"`{c}`"] for c in names], F.col("_n").alias(out))
+    return rows.join(known, rows["_digest"] == known["content"], "left").select(*[rows[f"`{c}`"] for c in names], known["_n"].alias(out))
