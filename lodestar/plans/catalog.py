@@ -488,14 +488,27 @@ def dense_negatives(spark, sf_dir):
     return got.select("qid", F.array_join(F.col("negatives").cast("array<string>"), ",").alias("negatives"))
 
 
-@query()
+_RANDOM = f"""WITH {_QRELS}, c AS (SELECT greatest(1, count(*) // 64) AS nb FROM documents),
+e AS (SELECT coalesce(max(n), 0) AS most FROM (SELECT count(*) AS n FROM qrels GROUP BY qid)),
+r AS (SELECT nb, least(nb, 2 + (2 * (5 + most)) // 64) AS reach FROM c, e),
+d AS (SELECT doc_id AS did, ('0x' || substr(md5('negd:' || doc_id), 1, 8))::BIGINT % nb AS bucket FROM documents, r),
+a AS (SELECT qid, (('0x' || substr(md5('negq:' || qid), 1, 8))::BIGINT % nb + i) % nb AS bucket FROM (SELECT item_id AS qid, nb, unnest(range(reach)) AS i FROM benchmark, r)),
+random AS (SELECT qid, did, row_number() OVER (PARTITION BY qid ORDER BY md5('neg:' || qid || ':' || did), did) AS rank FROM a JOIN d USING (bucket) WHERE (qid, did) NOT IN (SELECT qid, did FROM qrels) QUALIFY rank <= 5)"""
+
+
+@query(_RANDOM + " SELECT * FROM random")
 def random_negatives(spark, sf_dir):
     items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"))
     corpus = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("did"))
     return negatives.hashed(items, corpus, contains_qrels(spark, sf_dir), 5)
 
 
-@query()
+@query(
+    _RANDOM
+    + f""", {_bm25_sql(_ITEMS)}, mined AS (SELECT qid, did, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did) AS rank FROM sc WHERE (qid, did) NOT IN (SELECT qid, did FROM qrels) QUALIFY rank <= 3),
+rest AS (SELECT qid, did, row_number() OVER (PARTITION BY qid ORDER BY rank, did) AS rank FROM random WHERE (qid, did) NOT IN (SELECT qid, did FROM mined) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank, did) <= 2)
+SELECT qid, did, 'mined' AS kind, rank FROM mined UNION ALL SELECT qid, did, 'random' AS kind, rank FROM rest"""
+)
 def mixed_negatives(spark, sf_dir):
     return negatives.mixed(bm25_negatives(spark, sf_dir), random_negatives(spark, sf_dir), 3, 2)
 
@@ -624,14 +637,28 @@ def _sentence_pairs(spark, sf_dir) -> DataFrame:
     return made.withColumn("score", align.token_overlap(F.col("premise"), F.col("hypothesis")))
 
 
-@query()
+_SENT = r"list_filter(string_split(regexp_replace(coalesce({0}, ''), '([.!?])[\s\x0B]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
+_ALIGN = f"""WITH b AS (SELECT a.item_id, a.text AS prem, {_SENT.format("a.text")} AS ps, {_SENT.format("n.text")} AS hs FROM benchmark a JOIN benchmark n ON n.item_id = a.item_id + 1),
+k AS (SELECT *, greatest(len(ps) // (len({_SPACE.format("prem")}) // 20 + 1), 1) AS each FROM b),
+c AS (SELECT item_id, hs, list_transform(range(0, len(ps), each), lambda i: array_to_string(ps[i + 1:i + each], ' ')) AS cs FROM k),
+x AS (SELECT item_id, h, cs[p] AS prem, hs[h] AS hyp, p FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS h FROM c), LATERAL (SELECT unnest(range(1, len(cs) + 1)) AS p)),
+s AS (SELECT item_id, h, p, len(list_intersect({_SPACE.format("hyp")}, {_SPACE.format("prem")})) / greatest(len(list_distinct({_SPACE.format("hyp")})), 1)::DOUBLE AS score FROM x)"""
+
+
+@query(_ALIGN + " SELECT item_id, round(avg(m), 6) AS score FROM (SELECT item_id, h, max(score) AS m FROM s GROUP BY 1, 2) GROUP BY 1")
 def alignment_score(spark, sf_dir):
     return align.alignment(_sentence_pairs(spark, sf_dir), "item_id")
 
 
-@query()
+@query(
+    _ALIGN
+    + """, pr AS (SELECT item_id, avg(m) AS precision FROM (SELECT item_id, h, max(score) AS m FROM s GROUP BY 1, 2) GROUP BY 1),
+re AS (SELECT item_id, avg(m) AS recall FROM (SELECT item_id, p, max(score) AS m FROM s GROUP BY 1, 2) GROUP BY 1)
+SELECT item_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1 FROM pr JOIN re USING (item_id)"""
+)
 def smart_n(spark, sf_dir):
-    return align.smart_n(_sentence_pairs(spark, sf_dir), "item_id")
+    made = align.smart_n(_sentence_pairs(spark, sf_dir), "item_id")
+    return made.select("item_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query()
