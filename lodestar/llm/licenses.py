@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,26 +134,36 @@ class Scanner:
 
     def scan(self, place: list[int], word: list[int]) -> list[tuple[int, list[tuple[int, int]], float]]:
         """Matches of one text as (template, aligned pairs of hit and template position, score). place, word: of the hits."""
-        have = set(word)
+        have = Counter(word)
         found = []
         for t, (_, tmpl) in enumerate(self.templates):
-            kinds = set(tmpl)
+            kinds = Counter(tmpl)
             need = self.coverage * len(tmpl)
-            if len(kinds & have) < self.coverage * len(kinds):
+            # no more of a word can be aligned than stand on either side
+            if sum(min(c, have[w]) for w, c in kinds.items()) < need:
                 continue
             own = [i for i, w in enumerate(word) if w in kinds]
             # stretches start at hits; one is as long as a match may be
             reach = int(MAX_SPAN * len(tmpl)) + 1
-            n, i = len(own), 0
+            n, i, j = len(own), 0, 0
+            inside: Counter[int] = Counter()
+            most = 0  # the sum over words of the lesser count, in own[i:j] or the template
             while i < n:
-                j = bisect_left(own, place[own[i]] + reach, key=lambda x: place[x])
-                if j - i >= need and len({word[x] for x in own[i:j]}) >= self.coverage * len(kinds):
+                while j < n and place[own[j]] < place[own[i]] + reach:
+                    w = word[own[j]]
+                    most += inside[w] < kinds[w]
+                    inside[w] += 1
+                    j += 1
+                if most >= need:
                     pairs = align([word[x] for x in own[i:j]], tmpl)
                     if len(pairs) >= need:
                         got = [(own[i + a], b) for a, b in pairs]
                         span = place[got[-1][0]] - place[got[0][0]] + 1
                         if span <= MAX_SPAN * len(tmpl) + 1:
                             found.append((t, got, 2 * len(got) / (len(tmpl) + span)))
+                w = word[own[i]]
+                inside[w] -= 1
+                most -= inside[w] < kinds[w]
                 i += 1
         found.sort(key=lambda m: (-m[2], -len(m[1]), m[1][0][0], m[0]))
         kept: list[tuple[int, list[tuple[int, int]], float]] = []
