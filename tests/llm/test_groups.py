@@ -150,6 +150,19 @@ def test_exact_repeats_are_all_caught(spark):
     assert not missed
 
 
+def test_edited_short_passages_are_found(spark):
+    """Passages of 50 words with one word changed: with two of four hashes wanted, one in forty was lost."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = []
+    for k in range(0, 600, 2):
+        shared = [word() for _ in range(50)]
+        near = [*shared[:25], word(), *shared[26:]]
+        rows += [(k + i, " ".join([*(word() for _ in range(20)), *own, *(word() for _ in range(20))])) for i, own in enumerate((shared, near))]
+    got = {r.doc_id for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k for k, _ in rows if k % 2}
+
+
 def test_substrings_odd_rows(spark, messy, nothing):
     assert substrings.repeated_passages(nothing).collect() == [] and substrings.remove_repeats(nothing).collect() == []
     out = substrings.remove_repeats(messy)
