@@ -163,6 +163,25 @@ def test_edited_short_passages_are_found(spark):
     assert got == {k for k, _ in rows if k % 2}
 
 
+def test_passages_around_a_notice_are_found(spark):
+    """Notices stand in all texts in other surroundings; some pairs share a few words on either side too, one of them with an edit."""
+    rng = random.Random(11)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    for size, pad in ((45, 3), (40, 10), (46, 2)):
+        notice = say(size)
+        texts = [[*say(30), *notice, *say(30)] for _ in range(40)]
+        pairs = [(a, a + 14) for a in range(11, 25, 2)]
+        whole = set(range(30 - pad, 30 + size + pad))
+        for a, b in pairs:
+            texts[b][30 - pad : 30 + size + pad] = texts[a][30 - pad : 30 + size + pad]
+        if pad == 10:
+            texts[pairs[0][1]][60] = "changed"
+        df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+        got = {(r.doc_id, r.other_id): set(range(r.begin, r.end)) for r in substrings.repeated_passages(df).collect()}
+        assert set(got) == {(b, a) for a, b in pairs}
+        assert all(len(v) >= 50 if pad == 10 and p[0] == pairs[0][1] else v == whole for p, v in got.items())
+
+
 def test_substrings_odd_rows(spark, messy, nothing):
     assert substrings.repeated_passages(nothing).collect() == [] and substrings.remove_repeats(nothing).collect() == []
     out = substrings.remove_repeats(messy)
