@@ -245,6 +245,28 @@ def test_language_model_learns(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_every_word_reaches_the_weights(spark):
+    """Another word anywhere in a long training text gives other weights."""
+    import public_tokenizers as P
+
+    path = P.path("byte_bpe_50k.json")
+    size = lm._vocabulary_size(path)
+    vocabulary = lm.Vocabulary.of(np.ones(size), np.ones((lm.ROWS, lm.ROWS)))
+    rng = random.Random(3)
+    words = [rng.choice(["red", "green", "blue", "cat", "dog", "house"]) for _ in range(1000)]
+
+    def weights(w: list[str]) -> np.ndarray:
+        docs = lm._prepared(spark.createDataFrame([(0, " ".join(w))], "doc_id long, text string").coalesce(1), "text")
+        assert docs.where("not held").count() == 1
+        flat = np.zeros(0, np.float32)
+        return lm._trained(docs, lm.Model(path, vocabulary, vocabulary, lm.Layer(seed=5).flat, lm.Layer(seed=6).flat, 0, 0, flat, flat, flat)).across
+
+    plain = weights(words)
+    assert np.array_equal(plain, weights(words))
+    for at in (3, 500, 990):
+        assert not np.array_equal(plain, weights([*words[:at], "strange", *words[at + 1 :]]))
+
+
 def test_model_is_a_distribution():
     layer = lm.Layer(seed=1)
     rng = np.random.default_rng(0)
