@@ -4,7 +4,9 @@ A disguised word is a noisy channel's output: letters become look-alikes (LEET),
 and separators or spaces stand between them. Each token that holds anything but plain letters, has a
 letter three times or more in a row, or is one of a run of single characters, becomes a lattice of
 character readings; Viterbi finds the path with the least cost under the channel and a character
-bigram model. Plain words have one path and stay. Restored words and their prefixes are the features
+bigram model, over its whole length. Plain words have one path and stay. A run of single characters is cut at the gaps
+that are wider than its narrowest. Between the letters of what is left, and of tokens longer than WORD, words may begin (`pieces`):
+where the bigram model has a boundary nearly as cheap as none, neighbouring pieces count joined and apart, up to WORD letters. Restored words and their prefixes are the features
 of a logistic regression.
 
 Training: the character model counts letters over all texts given to `fit` (not only labelled ones). The
@@ -44,6 +46,8 @@ LEET = {
 #: Costs in nats: a look-alike read; a look-alike or a separator left out; a letter collapsed into the one before, in a run of three or more and else.
 READ, DROP, SEPARATOR, REPEAT, TWICE = 1.0, 9.0, 0.3, 0.4, 3.0
 LETTERS = 27  # word boundary, a to z
+#: Letters of the longest word looked for in a reading of several words, and the cost in nats up to which a boundary in it is looked at.
+WORD, LOOSE = 16, 1.5
 MEMO = 200_000
 _PLAIN = re.compile(r"(?!.*(.)\1\1)[^\W\d_]+")
 _EDGES = re.compile(r"^(?:[^\w@$!|+(€£¡]|([@$!|+(€£¡])\1\1+)+|(?:[^\w@$!|+(€£¡]|([@$!|+(€£¡])\2\2+)+$")  # three equal signs are no letters
@@ -94,18 +98,29 @@ def restore(tokens: list[str], cost: np.ndarray) -> list[str]:
     by_len: dict[int, list[int]] = {}
     plain = [bare(t) for t in tokens]
     for i, t in enumerate(plain):
-        by_len.setdefault(min(64, 1 << max(2, (len(t) - 1).bit_length())) if len(t) <= 64 else 0, []).append(i)
+        by_len.setdefault(1 << max(2, (len(t) - 1).bit_length()), []).append(i)
     for width, members in by_len.items():
-        if not width:  # longer than any word: only its letters
-            for i in members:
-                out[i] = "".join(c for c in plain[i] if c.isalpha())
-            continue
-        for lo in range(0, len(members), 4096):
-            rows = members[lo : lo + 4096]
+        step = max(1, 4096 * 64 // max(64, width))  # the way back is kept for so many
+        for lo in range(0, len(members), step):
+            rows = members[lo : lo + step]
             _viterbi([plain[i] for i in rows], rows, width, cost, out)
     return out
 
 
+def pieces(reading: str, cost: np.ndarray) -> list[str]:
+    """The words that a reading of several words may hold: its pieces between likely boundaries, and neighbouring ones joined."""
+    code = np.array([ord(c) - 96 for c in reading], np.int64)
+    apart = cost[code[:-1], 0] + cost[0, code[1:]] < cost[code[:-1], code[1:]] + LOOSE
+    ends = [0, *(np.flatnonzero(apart) + 1).tolist(), len(reading)]
+    out = {reading: None}
+    for i, lo in enumerate(ends[:-1]):
+        for n, hi in enumerate(ends[i + 1 :]):
+            if n and hi - lo > WORD:
+                break
+            out[reading[lo:hi]] = None
+    return list(out)
+
+
 def _readings(c: str) -> list[int]:
     return [ord(x) - 96 for x in ([c] if "a" <= c <= "z" else []) + list(LEET.get(c, ""))]
 
@@ -118,7 +133,7 @@ def _viterbi(texts: list[str], rows: list[int], width: int, cost: np.ndarray, ou
     steps: list[np.ndarray] = []
     seen: dict[str, tuple[np.ndarray, float]] = {}
     alone = np.arange(n)
-    for p in range(width):
+    for p in range(min(width, max(map(len, texts)))):
         emit, skip = np.full((n, LETTERS), np.inf), np.full(n, np.inf)
         collapse = np.full(n, TWICE)
         for i, t in enumerate(texts):
@@ -166,10 +181,12 @@ class Reader:
 
     cost: np.ndarray
     memo: dict[str, str | None] = field(default_factory=dict)
+    several: set[str] = field(default_factory=set)  # tokens whose reading is longer than a word
 
     def learn(self, tokens: set[str]) -> None:
         if len(self.memo) + len(tokens) > MEMO:
             self.memo.clear()
+            self.several.clear()
         odd: list[str] = []
         for t in tokens:
             core = _EDGES.sub("", t)
@@ -182,7 +199,10 @@ class Reader:
                 odd.append(t)
         for t, w in zip(odd, restore([_EDGES.sub("", t).rstrip("!|") for t in odd], self.cost), strict=True):
             simple = _BARE.sub("", t)
-            self.memo[t] = simple.lower() if _PLAIN.fullmatch(simple) and not any(c.isascii() for c in simple if c.isalpha()) else w
+            own = _PLAIN.fullmatch(simple) and not any(c.isascii() for c in simple if c.isalpha())
+            self.memo[t] = simple.lower() if own else w
+            if not own and len(w) > WORD:
+                self.several.add(t)
 
     def words(self, texts: list[str]) -> list[list[str]]:
         cut = [t.split() for t in texts]
@@ -193,15 +213,24 @@ class Reader:
                 new = set().union(*cut)
             self.learn(new)
         out = []
-        for tokens in cut:
+        for text, tokens in zip(texts, cut, strict=True):
             got = [memo[t] for t in tokens]
             if None in got:
-                got = self._spaced(tokens, got)
+                got = self._spaced(text, tokens, got)
+            if self.several:
+                for t in sorted(self.several.intersection(tokens)):
+                    got = [*got, *pieces(memo[t] or "", self.cost)]
             out.append(got)
         return out
 
-    def _spaced(self, tokens: list[str], got: list[str | None]) -> list[str]:
-        """Runs of three single characters or more are one word; shorter runs are words of one letter."""
+    def _spaced(self, text: str, tokens: list[str], got: list[str | None]) -> list[str]:
+        """Runs of three single characters or more are words, cut at wider gaps; shorter runs are words of one letter."""
+        gaps: list[int] = []  # before each token
+        at = 0
+        for t in tokens:
+            start = text.index(t, at)
+            gaps.append(start - at)
+            at = start + len(t)
         done: list[str] = []
         i = 0
         while i < len(got):
@@ -213,7 +242,10 @@ class Reader:
             while j < len(got) and got[j] is None:
                 j += 1
             if j - i >= 3:
-                done += restore(["".join(_EDGES.sub("", t) for t in tokens[i:j])[:64]], self.cost)
+                least = min(gaps[i + 1 : j])
+                cuts = [i, *(k for k in range(i + 1, j) if gaps[k] > least), j]
+                for w in restore(["".join(_EDGES.sub("", t) for t in tokens[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)], self.cost):
+                    done += pieces(w, self.cost) if len(w) > 3 else [w]
             else:
                 done += [bare(t) for t in tokens[i:j]]
             i = j

@@ -198,6 +198,18 @@ def test_disguised_words(spark, sf):
     assert "the" in got and "was" in got and "scum" in got and "straße" in got
 
 
+def test_long_disguises_are_read_to_the_end(spark, sf):
+    reader = toxicity.Reader(toxicity.letter_model(spark.read.parquet(f"{sf}/documents.parquet")))
+    said = "you are all welcome here and we like to talk about many things every day but you are such a worthless idiot"
+    spelled = said.replace("idiot", "1d10t")
+    wide = "   ".join(" ".join(w) for w in spelled.split())
+    even = " ".join(spelled.replace(" ", ""))
+    dotted = ".".join(spelled.replace(" ", ""))
+    for got in reader.words([wide, even, dotted, spelled.replace(" ", "")]):
+        assert "idiot" in got and any(w.startswith("worthles") for w in got), got
+    assert set(said.split()) - {"worthless"} <= set(reader.words([wide])[0])
+
+
 def test_toxicity_follows_labels(spark):
     sf = "/root/testdata/sf0.1"
     scored = queries.op8_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
