@@ -235,6 +235,14 @@ def _verify(threshold: float, least: list[int]):
     return run
 
 
+def _buckets(exploded: DataFrame) -> DataFrame:
+    """Of distinct (node, bucket): one bucket (and its least node) for each set of two members or more, told apart by a sum of hashes."""
+    hashed = F.xxhash64("node")
+    halves = [F.sum(F.shiftrightunsigned(hashed, 32)).alias("x"), F.sum(hashed.bitwiseAND(F.lit((1 << 32) - 1))).alias("y")]  # no overflow
+    per = exploded.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"), *halves).where("lo < hi")
+    return per.groupBy("lo", "hi", "n", "x", "y").agg(F.min("bucket").alias("bucket"))
+
+
 def jaccard_classes(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, class_id, n_links), one row per row of df."""
     spark = df.sparkSession
@@ -246,9 +254,8 @@ def jaccard_classes(df: DataFrame, text: str = "text", threshold: float = THRESH
     rows = stored(_signatures(docs), "signatures")
 
     # buckets with two different texts or more; of buckets with the same members one is enough
-    exploded = rows.select("doc_id", "node", F.explode("bands").alias("bucket"))
-    per = exploded.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node", "doc_id")).alias("x")).where("lo < hi")
-    per = per.groupBy("lo", "hi", "n", "x").agg(F.min("bucket").alias("bucket"))
+    exploded = rows.groupBy("node").agg(F.any_value("bands").alias("bands")).select("node", F.explode("bands").alias("bucket"))
+    per = _buckets(exploded)
     members = stored(exploded.select("node", "bucket").join(per.select("bucket", "lo"), "bucket").select("bucket", "node", "lo").distinct(), "members")
     width = members.groupBy("bucket").agg(F.count("*").alias("width"))
     narrow, wide = width.where(F.col("width") <= WIDE).select("bucket"), width.where(F.col("width") > WIDE).select("bucket")

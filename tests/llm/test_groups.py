@@ -61,6 +61,14 @@ def test_jaccard_classes_equal_brute_force(spark):
     assert got == brute(sorted(rows.collect(), key=lambda r: r.doc_id))
 
 
+def test_buckets_of_repeated_rows_keep_apart(spark):
+    """Every row twice with one doc_id: buckets with the same ends but another member between aren't the same."""
+    signed = [(7, n, [b for b, own in ((1, (1, 5, 9)), (2, (1, 6, 9)), (3, (1, 5, 9)), (4, (5,))) if n in own]) for n in (1, 5, 6, 9)]
+    rows = spark.createDataFrame(signed * 2, "doc_id long, node long, bands array<long>")
+    one = rows.dropDuplicates(["node"]).selectExpr("node", "explode(bands) AS bucket")
+    assert sorted(r.bucket for r in jaccard._buckets(one).collect()) == [1, 2]
+
+
 def test_jaccard_odd_rows(spark, messy, nothing):
     got = jaccard.jaccard_classes(messy).collect()
     assert len(got) == messy.count() and jaccard.jaccard_classes(nothing).collect() == []
