@@ -190,6 +190,61 @@ def test_passages_around_a_notice_are_found(spark):
         assert all(len(v) >= 50 if pad == 10 and p[0] == pairs[0][1] else v == whole for p, v in got.items())
 
 
+def test_a_repeat_behind_decoys_is_found(spark):
+    """Documents 1 and 3 share 200 words; 0 and 2, before each of them, hold single shingles of it in other places."""
+    rng = random.Random(13)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = say(200)
+    decoy = [x for k in range(0, 195, 5) for x in (*shared[k : k + 5], *say(50))]
+    texts = [decoy, [*say(90), *shared, *say(40)], list(reversed(decoy)) + decoy, [*say(90), *shared, *say(60)]]
+    got = substrings.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert (3, 1, 90, 290) in {(r.doc_id, r.other_id, r.begin, r.end) for r in got}
+
+
+def test_recall_of_edited_passages(spark):
+    """By brute force: planted passages whose shingle sets have a similarity of 0.8, 0.85 or 0.9 and somewhat more."""
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows, wanted = [], collections.defaultdict(list)
+    for k in range(0, 900, 2):
+        least = (0.8, 0.85, 0.9)[k // 2 % 3]
+        shared = [word() for _ in range(rng.randint(60, 300))]
+        near = list(shared)
+        sim = 1.0
+        places = rng.sample(range(len(near)), len(near))
+        while places:  # change words as long as the similarity allows
+            trial = list(near)
+            trial[places.pop()] = word()
+            one, two = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (shared, trial))
+            new = len(one & two) / len(one | two)
+            if new < least:
+                break
+            near, sim = trial, new
+        assert sim >= least
+        wanted[least].append((k + 1, 20, 20 + len(near)))
+        rows += [(k + i, " ".join([*(word() for _ in range(20)), *own, *(word() for _ in range(20))])) for i, own in enumerate((shared, near))]
+    got = collections.defaultdict(set)
+    for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.similarity >= 0.8 and (r.doc_id, r.other_id) == (r.other_id + 1, r.doc_id - 1)
+        got[r.doc_id] |= set(range(r.begin, r.end))
+    for least, own in wanted.items():
+        assert sum(len(got[d] & set(range(a, b))) >= 0.5 * (b - a) for d, a, b in own) >= 0.97 * len(own), least
+
+
+def test_hot_passages_and_frequent_shingles(spark, monkeypatch):
+    """A passage in most texts, and a sentence in all in other surroundings, split and linked within chunks: all but the first have a row."""
+    monkeypatch.setattr(substrings, "SAMPLE", 0.5)
+    monkeypatch.setattr(substrings, "OFTEN", 4)
+    rng = random.Random(19)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, line = say(80), say(12)
+    rows = [(i, " ".join([*say(30), *(passage if i % 3 else []), *say(60), *line, *say(60)])) for i in range(300)]
+    got = collections.defaultdict(set)
+    for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
+        got[r.doc_id] |= set(range(r.begin, r.end))
+    assert got == {i: set(range(30, 110)) for i in range(2, 300) if i % 3}
+
+
 def test_substrings_odd_rows(spark, messy, nothing):
     assert substrings.repeated_passages(nothing).collect() == [] and substrings.remove_repeats(nothing).collect() == []
     out = substrings.remove_repeats(messy)
