@@ -107,6 +107,20 @@ def test_compact_windows():
                 assert [k for _, k, _ in own] == [m]
 
 
+def test_compact_windows_are_all_there():
+    """Against one stack per range, with runs of equal values and short ranges."""
+    rng = np.random.default_rng(3)
+    for kinds in (3, 50, 1 << 62):
+        v = rng.integers(0, kinds, 3000).astype(np.uint64) << np.uint64(1)
+        v[500:700] = v[500]
+        v[900:1100] = np.sort(v[900:1100])
+        v[1200:1400] = np.sort(v[1200:1400])[::-1]
+        cuts = np.unique(rng.integers(0, 3000, 12))
+        for least in (33, 46, 90):
+            got = sorted(zip(*(x.tolist() for x in substrings.compact_windows(v, cuts[:-1], cuts[1:], least)), strict=True))
+            assert got == sorted(zip(*(x.tolist() for x in substrings._all_windows(v, cuts[:-1], cuts[1:], least)), strict=True))
+
+
 def test_passages_on_two_diagonals():
     rng = np.random.default_rng(4)
     one, two, fill = (rng.integers(0, 1 << 60, n).astype(np.uint64) for n in (60, 52, 400))
@@ -234,7 +248,7 @@ def test_recall_of_edited_passages(spark):
 def test_hot_passages_and_frequent_shingles(spark, monkeypatch):
     """A passage in most texts, and a sentence in all in other surroundings, split and linked within chunks: all but the first have a row."""
     monkeypatch.setattr(substrings, "SAMPLE", 0.5)
-    monkeypatch.setattr(substrings, "OFTEN", 4)
+    monkeypatch.setattr(substrings, "OFTEN", 20)
     rng = random.Random(19)
     say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
     passage, line = say(80), say(12)
