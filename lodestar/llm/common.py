@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Bounds of one Arrow batch handed to Python, so that very long texts cannot fill a worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -34,10 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: later steps start from files, so a lost executor costs no recomputation."""
+    """Writes df to the shared folder and reads it again: later steps start from files, so a lost executor costs no recomputation.
+
+    Spark drops the step's shuffle files when it is written, since nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
