@@ -12,7 +12,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from lodestar.llm import fingerprints, kernel, licenses, packing, pieces, quality, queries, tokens
+from lodestar.llm import fingerprints, kernel, licenses, lm, packing, pieces, quality, queries, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -243,3 +243,87 @@ def test_packing(spark, sf, messy, nothing):
             assert at <= size
     assert packing.pack_documents(nothing, path).collect() == []
     assert packing.pack_documents(messy, path).count() >= messy.count()
+
+
+def test_lm_scores_token_by_token(spark, tmp_path):
+    """A text's score is the sum over its tokens of what the layers, looked at one place at a time, and the counts give."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdeinorst", k=rng.randint(1, 30))) for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.choice((0, 1, 15, 16, 17, 75))))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    vocabulary = P.path("byte_bpe_50k.json")
+    _, _, model = lm.fit(df, vocabulary)
+    across, within = lm.Layer(model.across), lm.Layer(model.within)
+    within.prepare(model.rest.prior)
+
+    def step(layer, vocab, context, target):
+        r = vocab.row[np.array(context)]
+        q = layer.e[r[-1]] @ layer.wq / np.sqrt(lm.DIM)
+        s = np.array([q @ (layer.e[x] @ layer.wk) + layer.bias[len(r) - 1 - j] for j, x in enumerate(r)])
+        s = np.exp(s - s.max())
+        h = sum(w * (layer.e[x] @ layer.wv) for w, x in zip(s / s.sum(), r)) + layer.e[r[-1]]
+        logit = h @ layer.u + layer.b + vocab.prior[r[-1]]
+        logit = logit - logit.max() - np.log(np.exp(logit - logit.max()).sum())
+        return logit[vocab.cls[target]] + vocab.after[r[-1], vocab.row[target]] + vocab.share[target]
+
+    train = [t.split() for i, t in rows if zlib.crc32(str(i).encode()) % lm.FOLDS != lm.HELD]
+    count = collections.Counter(w for t in train for w in t)
+    want = {}
+    for i, text in rows:
+        total, ids = 0.0, lm.ids_of([w.encode() for w in text.split()], vocabulary)
+        heads = [x[0] for x in ids] + [lm.END]
+        for k, head in enumerate(heads):
+            lo = max(0, (k // lm.HALF - 1) * lm.HALF)
+            total += step(across, model.first, [heads[p - 1] if p else lm.START for p in range(lo, k + 1)], head)
+            if k < len(ids):
+                chain = ids[k]
+                rest = sum(step(within, model.rest, chain[: m + 1], x) for m, x in enumerate([*chain[1:], lm.STOP][: lm.CHAIN]))
+                if len(chain) > lm.CHAIN:
+                    rest += sum(model.plain[x] for x in [*chain[lm.CHAIN + 1 :], lm.STOP])
+                g, c = model.spare[head], model.heads[head]
+                total += np.log((count[text.split()[k]] + g * np.exp(rest)) / (c + g))
+        want[i] = total / np.log(10)
+    got = {r.doc_id: r.score for r in lm.lm_scores(df, vocabulary).collect()}
+    assert got.keys() == want.keys() and any(len(x) > lm.CHAIN + 1 for x in lm.ids_of([w.encode() for w in words], vocabulary))
+    assert all(abs(got[i] - want[i]) < 1e-3 * max(1, abs(want[i])) for i in want)
+
+
+def test_lm_probabilities_sum_to_one(spark):
+    """Over all ids at any place, and over the ways on from a chain as long as attention sees."""
+    rng = np.random.default_rng(1)
+    size = 40
+    counts, pairs = rng.integers(0, 9, size).astype(float), rng.integers(0, 5, (lm.ROWS, lm.ROWS)).astype(float)
+    vocab = lm.Vocabulary.of(counts, pairs)
+    layer = lm.Layer(rng.normal(0, 0.3, lm.Layer.size()))
+    layer.prepare(vocab.prior)
+    x = rng.integers(0, lm.ROWS, (1, 7))
+    of_class = np.exp([layer.class_log(x, None, np.array([[c]]))[0, 0] for c in range(lm.CLASSES)])
+    assert abs(of_class.sum() - 1) < 1e-4
+    shares = np.exp(vocab.share)
+    assert all(abs(shares[vocab.row == r].sum() - 1) < 1e-4 for r in np.unique(vocab.row))
+    every = lm.Vocabulary.of(np.ones(20_000), pairs)  # each row has an id
+    cls = np.zeros(lm.ROWS, int)
+    cls[every.row] = every.cls
+    assert all(abs(np.exp(every.after[r])[cls == c].sum() - 1) < 1e-4 for r in (0, 99) for c in np.unique(cls))
+    plain = np.log((counts + 0.05) / (counts + 0.05).sum())
+    model = lm.Model("", vocab, vocab, layer.flat, layer.flat, 1, 1, counts, plain, counts)
+    chain = rng.integers(3, size, lm.CHAIN + 1).tolist()
+    ended = np.exp(model.rest_log([chain], layer)[0])
+    longer = [np.exp(v) / np.exp(plain[lm.STOP]) for v in model.rest_log([[*chain, x] for x in range(size) if x != lm.STOP], layer)]
+    steps = sum(vocab.log(layer, np.array([chain[: m + 1]]), None, np.array([[chain[m + 1]]]))[0, 0] for m in range(lm.CHAIN))
+    assert abs((ended + sum(longer)) / np.exp(steps) - 1) < 1e-4
+
+
+def test_lm_takes_any_plan(spark, tmp_path):
+    """A join of two files, a repartitioned and a united table are scored like a plain scan; a split makes several blocks."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdeinorst", k=rng.randint(2, 7))) for _ in range(50)]
+    df = spark.createDataFrame([(i, " ".join(rng.choices(words, k=30))) for i in range(40)], "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "a"))
+    df.select("doc_id").write.parquet(str(tmp_path / "b"))
+    a, b = spark.read.parquet(str(tmp_path / "a")), spark.read.parquet(str(tmp_path / "b"))
+    vocabulary = P.path("byte_bpe_50k.json")
+    base = {r.doc_id: round(r.base_score, 6) for r in lm.lm_scores(a, vocabulary).collect()}
+    for other in (a.join(b, "doc_id"), a.repartition(8), a.where("doc_id < 20").union(a.where("doc_id >= 20"))):
+        assert {r.doc_id: round(r.base_score, 6) for r in lm.lm_scores(other, vocabulary).collect()} == base
+    assert lm._scan_only(a.select("doc_id", "text").where("doc_id > 3")) and not lm._scan_only(a.repartition(3))
