@@ -24,11 +24,13 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of this session's own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of this session's own where it is unset and everything runs on this machine (tests)."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = spark.conf.get("lodestar.scratch.dir", "")
         if not at:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
             at = tempfile.mkdtemp(prefix="lodestar-")
             spark.conf.set("lodestar.scratch.dir", at)
     return at.rstrip("/")
@@ -57,3 +59,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crc_remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo divisor; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(divisor)
+
+
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores put before it as it takes to be no column of df, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without_columns(df: DataFrame, made: list[str]) -> DataFrame:
+    """df without columns of those names, in any case."""
+    low = {c.lower() for c in made}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])

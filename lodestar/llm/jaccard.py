@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import kernel
-from lodestar.llm.common import bounded_batches, partitions, stored
+from lodestar.llm.common import bounded_batches, partitions, stored, unused
 from lodestar.llm.components import components
 
 THRESHOLD, TOLERANCE = 0.8, 1e-7
@@ -293,4 +293,5 @@ def keep_one(df: DataFrame, text: str = "text") -> DataFrame:
     if nameless.isEmpty():
         return rows
     known = df.where(F.col("doc_id").isNotNull())
-    return rows.unionByName(nameless.join(known.select(body.alias("_copy")).distinct(), body == F.col("_copy"), "left_anti").dropDuplicates([text]))
+    copy = unused(df, "copy")[0]
+    return rows.unionByName(nameless.join(known.select(body.alias(copy)).distinct(), body == F.col(copy), "left_anti").dropDuplicates([text]))

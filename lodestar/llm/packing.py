@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import bounded_batches, partitions, stored
+from lodestar.llm.common import bounded_batches, partitions, stored, unused, without_columns
 from lodestar.llm.tokens import SAFE, library
 
 SIZE, END = 2048, 0
@@ -240,18 +240,19 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
     """Rows with a `length` of 1..size, each with sequence_id and offset; other columns stay. `cut` is read more than once, so give a stored table."""
     spark = cut.sparkSession
     bounded_batches(spark)
-    cut = cut.select(*[F.col(f"`{c}`") for c in cut.columns if c not in ("sequence_id", "offset")])
+    cut = without_columns(cut, ["sequence_id", "offset"])
+    s_, r_, n_, before_, rank_ = unused(cut, "slice", "nth", "n", "before", "rank")
     slices = partitions(spark) * 4
     part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in cut.columns if c in ("doc_id", "piece")]), F.lit(slices)).cast("int")
-    per = cut.select("length", part.alias("_s")).groupBy("length", "_s").agg(F.count("*").alias("_n"))
-    histogram = {int(r["length"]): int(r["n"]) for r in per.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `size` rows
+    per = cut.select("length", part.alias(s_)).groupBy("length", s_).agg(F.count("*").alias(n_))
+    histogram = {int(r["length"]): int(r["n"]) for r in per.groupBy("length").agg(F.sum(n_).alias("n")).collect()}  # at most `size` rows
     plan = slots(reduce_and_fit(histogram, size))
     from pyspark.sql import Window
 
-    before = per.select("length", "_s", (F.sum("_n").over(Window.partitionBy("length").orderBy("_s")) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("length", "_s").orderBy("doc_id", *(["piece"] if "piece" in cut.columns else []))) - 1
-    ranked = cut.withColumn("_s", part).withColumn("_r", within).join(before, ["length", "_s"])
-    ranked = ranked.select(*[F.col(f"`{c}`") for c in cut.columns], (F.col("_before") + F.col("_r")).cast("long").alias("_rank"))
+    before = per.select("length", s_, (F.sum(n_).over(Window.partitionBy("length").orderBy(s_)) - F.col(n_)).alias(before_))
+    within = F.row_number().over(Window.partitionBy("length", s_).orderBy("doc_id", *(["piece"] if "piece" in cut.columns else []))) - 1
+    ranked = cut.withColumn(s_, part).withColumn(r_, within).join(before, ["length", s_])
+    ranked = ranked.select(*[F.col(f"`{c}`") for c in cut.columns], (F.col(before_) + F.col(r_)).cast("long").alias(rank_))
     names = list(cut.columns)
     place, rank_at = names.index("length"), len(names)
 

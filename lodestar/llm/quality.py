@@ -1,14 +1,18 @@
 """Quality rules with adaptive thresholds.
 
 Each text's counts become rates; mergeable KLL quantile sketches of the rates are built per
-(lang, source), merged per lang and over everything, and a text passes if each rate lies within
-its group's fences: q75 + SPREAD * (q75 - q25) + a margin, and for word length also the mirrored
-lower fence. A group of fewer than MIN_GROUP rows takes the fences of its lang, a small lang
-those of all rows. No cutoff on a rate is fixed; the margins only keep a group whose rates are
-all alike from rejecting a text for a trace.
+(lang, source), merged per lang and over everything. A rate's fence is u + SPREAD * (u - l), from the
+quartiles l and u of its own group's sketch; where those coincide, from the median and the UPPER quantile. A
+group's fence is shrunk towards its lang's as if PRIOR more rows had that, and a lang's likewise towards that of all rows, so
+a small group is judged by little more than its lang, without a switch.
+
+A text passes if its word length lies within the fences (l - SPREAD * (u - l) is the lower one), and if its other
+rates don't exceed theirs by more than chance: where the fence lets a text of its size have e events, up to
+e + SIGMA * (sqrt(e) + 1). An event is a symbol, a duplicate line, or a three-word window found twice, which is REPEATED words.
 
 Defined cases: null text has no words and fails the base rule; null lang or source is a group of
-its own; repeated rows count each time; further columns stay as they are.
+its own; texts that fail the base rule don't shape fences; repeated rows count each time; COUNTS, RATES, base_failed and kept replace columns of
+those names; further columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,17 +25,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import kernel
-from lodestar.llm.common import bounded_batches
+from lodestar.llm.common import bounded_batches, stored, unused, without_columns
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
-#: Rate: numerator, denominator, margin beyond the fence, whether it has a lower fence.
+#: Rate: numerator, denominator, how much of the numerator an event is (None: fenced on both sides, by the rate itself).
+REPEATED = 6
 RATES = {
-    "symbol_rate": ("n_symbols", "n_words", 0.10, False),
-    "dup_line_rate": ("n_dup_lines", "n_lines", 0.50, False),
-    "repeat_rate": ("n_repeat_words", "n_words", 0.20, False),
-    "word_length": ("word_chars", "n_words", 1.50, True),
+    "symbol_rate": ("n_symbols", "n_words", 1),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 1),
+    "repeat_rate": ("n_repeat_words", "n_words", REPEATED),
+    "word_length": ("word_chars", "n_words", None),
 }
-SPREAD, MIN_GROUP, SKETCH_K = 3.0, 200, 400
+SPREAD, UPPER, SIGMA, PRIOR, SKETCH_K = 3.0, 0.9, 3.0, 200, 400
 #: Fence rows are broadcast up to this many; beyond, the join is left to the planner.
 BROADCAST_GROUPS = 20_000
 
@@ -94,8 +99,8 @@ def counts(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """df with COUNTS as long columns (replaced if there)."""
     bounded_batches(df.sparkSession)
-    names = [c for c in df.columns if c not in COUNTS]
-    rows = df.select(*[F.col(f"`{c}`") for c in names])
+    rows = without_columns(df, COUNTS)
+    names = rows.columns
     place = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,42 +118,62 @@ def base_failed() -> Column:
 
 
 def rate(name: str) -> Column:
-    over, under, _, _ = RATES[name]
+    over, under, _ = RATES[name]
     return F.when(F.col(under) > 0, F.col(over).cast("double") / F.col(under)).otherwise(F.lit(0.0))
 
 
 def _group(name: str) -> Column:
     """Null as a value of its own, so that groups join by plain equality."""
-    return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("null"))
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{name}`").cast("string")), F.lit("null"))
+
+
+def _quantile(sketch: Column, q: float) -> Column:
+    return F.kll_sketch_get_quantile_double(sketch, F.lit(q))
 
 
 def fences(counted: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """One row per (__lang, __source) with __lo_/__hi_ fences of each rate. Rows that fail the base rule don't shape them."""
-    rows = counted.where(~base_failed()).select(_group(lang).alias("__lang"), _group(source).alias("__source"), *[rate(r).alias(r) for r in RATES])
-    fine = rows.groupBy("__lang", "__source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in RATES])
+    """One row per (lang, source), each null or "=" and its text, with n rows and lo_ and hi_ fences of each rate. Rows that fail the base rule don't shape them."""
+    rows = counted.where(~base_failed()).select(_group(lang).alias("lang"), _group(source).alias("source"), *[rate(r).alias(r) for r in RATES])
+    fine = stored(rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in RATES]), "sketches")  # a row per group
     merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in RATES]]
-    wide = fine.groupBy("__lang").agg(*merged).select("__lang", F.col("n").alias("n_lang"), *[F.col(r).alias(f"{r}_lang") for r in RATES])
-    every = fine.agg(*merged).select(*[F.col(r).alias(f"{r}_all") for r in RATES])  # one row
-    out = fine.join(wide, "__lang").crossJoin(F.broadcast(every))
-    cols = [F.col("__lang"), F.col("__source")]
-    for r, (_, _, margin, lower) in RATES.items():
-        sketch = F.when(F.col("n") >= MIN_GROUP, F.col(r)).when(F.col("n_lang") >= MIN_GROUP, F.col(f"{r}_lang")).otherwise(F.col(f"{r}_all"))
-        q25, q75 = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        cols.append((q75 + SPREAD * (q75 - q25) + margin).alias(f"__hi_{r}"))
-        cols.append((q25 - SPREAD * (q75 - q25) - margin if lower else F.lit(0.0)).alias(f"__lo_{r}"))
-    return out.select(*cols)
+
+    def own(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
+        cols = [*keys, F.col("n").alias(f"n{tag}")]
+        for r in RATES:
+            l, m, u, top = (_quantile(F.col(r), q) for q in (0.25, 0.5, 0.75, UPPER))
+            cols.append(F.when(u > l, u + SPREAD * (u - l)).otherwise(top + SPREAD * (top - m)).alias(f"hi_{r}{tag}"))
+            cols.append((l - SPREAD * (u - l)).alias(f"lo_{r}{tag}"))
+        return df.select(*cols)
+
+    every = own(fine.agg(*merged).where("n > 0"), [], "_all")  # one row
+    wide = own(fine.groupBy("lang").agg(*merged), ["lang"], "_lang")
+    out = own(fine, ["lang", "source"], "").join(wide, "lang").crossJoin(F.broadcast(every))
+    shrunk = lambda own_, n, to: (F.col(n) * F.col(own_) + PRIOR * to) / (F.col(n) + PRIOR)
+    cols = [shrunk(f"{side}_{r}", "n", shrunk(f"{side}_{r}_lang", "n_lang", F.col(f"{side}_{r}_all"))).alias(f"{side}_{r}") for r in RATES for side in ("lo", "hi")]
+    return out.select("lang", "source", "n", *cols)
+
+
+def within(r: str, lo: Column, hi: Column) -> Column:
+    over, under, event = RATES[r]
+    if event is None:
+        return rate(r).between(lo, hi)
+    allowed = hi * F.col(under) / event
+    return F.col(over) / F.lit(event) <= allowed + SIGMA * (F.sqrt(allowed) + 1)
 
 
 def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """df with COUNTS, base_failed, the rates and kept. Two passes over the texts; texts are not shuffled."""
-    made = [*COUNTS, *RATES, "base_failed", "kept"]
-    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in made])
-    lines = fences(with_counts(df.select(F.col(text), F.col(lang), F.col(source)), text), lang, source)
-    table = lines.collect() if lines.count() <= BROADCAST_GROUPS else None
-    if table is not None:
-        lines = F.broadcast(df.sparkSession.createDataFrame(table, lines.schema))
-    rows = with_counts(df, text).select("*", base_failed().alias("base_failed"), *[rate(r).alias(r) for r in RATES], _group(lang).alias("__lang"), _group(source).alias("__source"))
-    within = F.lit(True)
+    """df with COUNTS, RATES, base_failed and kept. Two passes over the texts, one for the sketches and one for the verdicts; texts are not shuffled."""
+    df = without_columns(df, [*COUNTS, *RATES, "base_failed", "kept"])
+    names = df.columns
+    lines = stored(fences(with_counts(df.select(F.col(f"`{text}`"), F.col(f"`{lang}`"), F.col(f"`{source}`")), text), lang, source), "fences")
+    mine = unused(df, "line_lang", "line_source", "line")
+    lines = lines.select(F.col("lang").alias(mine[0]), F.col("source").alias(mine[1]), F.struct("*").alias(mine[2]))
+    if lines.count() <= BROADCAST_GROUPS:
+        lines = F.broadcast(lines)
+    rows = with_counts(df, text).select("*", base_failed().alias("base_failed"), *[rate(r).alias(r) for r in RATES])
+    line = lambda side, r: F.col(f"{mine[2]}.{side}_{r}")
+    fine = F.lit(True)
     for r in RATES:
-        within &= F.coalesce(F.col(r).between(F.col(f"__lo_{r}"), F.col(f"__hi_{r}")), F.lit(True))
-    return rows.join(lines, ["__lang", "__source"], "left").select(*[f"`{c}`" for c in df.columns], *COUNTS, *RATES, "base_failed", (~F.col("base_failed") & within).alias("kept"))
+        fine &= F.coalesce(within(r, line("lo", r), line("hi", r)), F.lit(True))
+    joined = rows.join(lines, (_group(lang) == F.col(mine[0])) & (_group(source) == F.col(mine[1])), "left")
+    return joined.select(*[f"`{c}`" for c in names], *COUNTS, *RATES, "base_failed", (~F.col("base_failed") & fine).alias("kept"))

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import bounded_batches, shared_dir
+from lodestar.llm.common import bounded_batches, shared_dir, unused
 
 #: Characters on which the pattern and case rules of both regular expression engines agree and NFC changes nothing.
 SAFE = regex.compile(r"[\t\n\r\x20-\x7e¡-įı-ɏ]*")
@@ -155,6 +155,9 @@ def count_tokens(df: DataFrame, tokenizer: str, cache: str | None = None, text:
 
     known = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == own).groupBy("content").agg(F.min("n_tokens").alias("_n"))
     kept = [F.col(f"`{c}`") for c in df.columns if c != out] if carry is None else [v.alias(k) for k, v in carry.items()]
-    rows = df.select(*kept, digest.alias("_digest"))
-    names = [c for c in rows.columns if c != "_digest"]
-    return rows.join(known, rows["_digest"] == known["content"], "left").select(*[rows[f"`{c}`"] for c in names], known["_n"].alias(out))
+    rows = df.select(*kept)
+    names = rows.columns
+    own, theirs, n_ = unused(rows, "digest", "content", "stored")
+    rows = df.select(*kept, digest.alias(own))
+    known = known.select(F.col("content").alias(theirs), F.col("_n").alias(n_))
+    return rows.join(known, F.col(own) == F.col(theirs), "left").select(*[F.col(f"`{c}`") for c in names], F.col(n_).alias(out))

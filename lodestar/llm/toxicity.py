@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import kernel
-from lodestar.llm.common import bounded_batches, crc_remainder, stored
+from lodestar.llm.common import bounded_batches, crc_remainder, stored, unused
 
 FOLDS, SAMPLE, FEATURES, MIN_TOXIC = 5, 20_000, 1000, 6
 #: Prefixes of restored words, in letters, that are features beside the whole words.
@@ -301,6 +301,8 @@ def fit(labelled: DataFrame, corpus: DataFrame, text: str = "text") -> Model:
     rows = labelled.select(F.col("doc_id").cast("long"), F.col(f"`{text}`").cast("string"), F.col("toxic").cast("int"))
     rows = stored(rows.where("toxic in (0, 1)").mapInArrow(run, "doc_id long, features array<string>, toxic int"), "toxic-features")
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if sum(totals.values()) > SAMPLE:
+        raise ValueError(f"the model is fitted on at most {SAMPLE} labelled rows; training_rows chooses them")
     if len(totals) < 2:
         return Model(cost, {}, -30.0 if 1 not in totals else 30.0)
     share = totals[1] / totals[0]
@@ -372,4 +374,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without those scored at threshold or above."""
     model = fit(training_rows(docs, labels), docs)
-    return score(docs, model, out="_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    own = unused(docs, "toxicity")[0]
+    return score(docs, model, out=own).where(F.col(own) < threshold).drop(own)

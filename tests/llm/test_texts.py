@@ -95,6 +95,49 @@ def test_quality_verdicts_follow_labels(spark):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.1
 
 
+def test_quality_fences_follow_their_groups(spark):
+    """Fences from exact quantiles, within the sketch's error of those found; verdicts recomputed from the fences."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for lang, source, symbols, length, n in (("a", "x", 0.02, 5, 3000), ("a", "y", 0.3, 9, 1500), ("b", "x", 0.0, 4, 800), ("b", None, 0.1, 12, 30)):
+        for _ in range(n):
+            k = rng.integers(60, 200)
+            words = ["".join(rng.choice(list("abcdeinorst"), max(1, int(rng.normal(length, 0.2))))) + str(i) for i in range(k)]
+            words += ["#"] * int(rng.poisson(symbols * k))
+            rows.append((len(rows), " ".join(words), lang, source))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    got = {(r.lang, r.source): r for r in quality.fences(quality.with_counts(df)).collect()}
+    assert len({round(r.hi_symbol_rate, 3) for r in got.values()}) == 4 and len({round(r.hi_word_length, 2) for r in got.values()}) == 4
+    counted = {r.doc_id: r for r in quality.quality_rules(df).collect()}
+    sound = [r for r in counted.values() if not r.base_failed]
+
+    def bounds(rates, slack):
+        """Least and greatest fence when each quantile may be off by `slack` of the ranks."""
+        at = lambda q: [float(np.quantile(rates, min(1, max(0, q + e)))) for e in (-slack, slack)]
+        (l0, l1), (m0, m1), (u0, u1), (t0, t1) = map(at, (0.25, 0.5, 0.75, quality.UPPER))
+        ends = [u0 + 3 * (u0 - l1), u1 + 3 * (u1 - l0)] if u0 > l1 else [min(u0, t0 + 3 * (t0 - m1)), max(u1 + 3 * (u1 - l0), t1 + 3 * (t1 - m0))]
+        return np.array(ends)
+
+    for r in ("symbol_rate", "word_length"):
+        of = lambda keep: np.array([x[r] for x in sound if keep(x)])
+        every = bounds(of(lambda x: True), 0.02)
+        for (lang, source), line in got.items():
+            own = of(lambda x: f"={x.lang}" == lang and (f"={x.source}" if x.source else "null") == source)
+            wide = of(lambda x: f"={x.lang}" == lang)
+            assert line.n == len(own)
+            shrunk = (len(wide) * bounds(wide, 0.02) + quality.PRIOR * every) / (len(wide) + quality.PRIOR)
+            low, high = (len(own) * bounds(own, 0.02) + quality.PRIOR * shrunk) / (len(own) + quality.PRIOR)
+            assert low - 1e-9 <= line[f"hi_{r}"] <= high + 1e-9, (r, lang, source)
+    for x in counted.values():
+        line = got[f"={x.lang}", f"={x.source}" if x.source else "null"]
+        fine = line.lo_word_length <= x.word_length <= line.hi_word_length
+        for r, (over, under, event) in quality.RATES.items():
+            if event:
+                e = line[f"hi_{r}"] * x[under] / event
+                fine &= x[over] / event <= e + 3 * (e**0.5 + 1)
+        assert x.kept == (fine and not x.base_failed)
+
+
 def test_token_counts_and_cache(spark, sf, messy, nothing, tmp_path):
     path = P.path("word_bpe_49k.json")
     lib = tokens.library(path)
