@@ -8,16 +8,64 @@ from pyspark.sql import functions as F
 from lodestar.functions.text import hash_order
 
 
+#: Rows of one sorted slice, and how many slices there are at most.
+SLICE, SLICES = 200_000, 2000
+HEX = 4  # digits of a hash that are counted first
+
+
+def _names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, with underscores before those that df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for w in wanted:
+        while w.lower() in taken:
+            w = f"_{w}"
+        out.append(w)
+    return out
+
+
+def _slices(df: DataFrame, keys: list[Column], rows: int | None = None) -> Column:
+    """The number of each row's slice, in the order of `keys`: fixed values, found once, part the rows, so every use of a row gives the same."""
+    order = keys[0]
+    n = df.count()
+    parts = min(SLICES, -(-n // (rows or SLICE)))
+    if parts < 2:
+        return F.lit(0)
+    sample = df.select(order.alias("k")).where("k is not null").sample(min(1.0, 200 * parts / n), seed=1)
+    cuts = [r["k"] for r in sample.withColumn("t", F.ntile(parts).over(Window.orderBy("k"))).groupBy("t").agg(F.max("k").alias("k")).orderBy("t").collect()][:-1]  # SLICES at most
+    return F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < order)), F.lit(0))
+
+
 def numbered(df: DataFrame, key: str, out: str = "pos") -> DataFrame:
-    """df with positions 0, 1, ... in the order of `key`, without one task that sees every row.
+    """df with positions 0, 1, ... in the order of `key` (nulls first), without one task that sees every row.
 
-    Rows are range-partitioned by key; counts per range give each its first position.
+    The rows are cut into slices at fixed values of the key, so a slice's number depends on nothing but the row; counts per
+    slice give each its first position. Rows with equal keys stand in any order among themselves and have to fit a task.
     """
-    ranged = df.repartitionByRange(F.col(key)).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
-    per = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = per.withColumn("_b", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["_b"]).select("_p", "_b")  # a row per partition
-    return ranged.join(before, "_p").withColumn(out, (F.col("_b") + F.col("_r") - 1).cast("long")).drop("_p", "_r", "_b")
+    s_, r_, b_ = _names(df, "slice", "nth", "before")
+    part = F.when(F.col(f"`{key}`").isNull(), F.lit(-1)).otherwise(_slices(df, [F.col(f"`{key}`")])).cast("int")
+    sliced = df.withColumn(s_, part)
+    per = sliced.groupBy(s_).agg(F.count("*").alias("n"))
+    before = per.select(s_, (F.sum("n").over(Window.orderBy(s_)) - F.col("n")).alias(b_))  # a row per slice
+    ranked = sliced.withColumn(r_, F.row_number().over(Window.partitionBy(s_).orderBy(F.col(f"`{key}`"))))
+    return ranked.join(F.broadcast(before), s_).withColumn(out, (F.col(b_) + F.col(r_) - 1).cast("long")).drop(s_, r_, b_)
+
+
+def ranked_within(df: DataFrame, group: str | None, order: list[Column], out: str, total: str | None = None) -> DataFrame:
+    """df with the 1-based position of each row in its group (null: all rows) by `order`, and the group's size as `total`, without one task per group.
+
+    `order`'s first column parts all rows into slices; a row's position is the rows of its group in lesser slices and its position in its own.
+    """
+    g_, s_, r_, b_, t_, j_, k_ = _names(df, "of", "slice", "nth", "before", "size", "j", "k")
+    sliced = df.withColumn(g_, F.lit(0) if group is None else F.col(f"`{group}`")).withColumn(s_, _slices(df, order[:1]))
+    per = sliced.groupBy(g_, s_).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(g_)
+    before = per.select(F.col(g_).alias(j_), F.col(s_).alias(k_), (F.sum("n").over(w.orderBy(s_)) - F.col("n")).alias(b_), F.sum("n").over(w).alias(t_))  # a row per group and slice
+    ranked = sliced.withColumn(r_, F.row_number().over(Window.partitionBy(g_, s_).orderBy(*order)))
+    done = ranked.join(before, F.col(g_).eqNullSafe(F.col(j_)) & (F.col(s_) == F.col(k_))).withColumn(out, (F.col(b_) + F.col(r_)).cast("long"))
+    if total:
+        done = done.withColumn(total, F.col(t_))
+    return done.drop(g_, s_, r_, b_, t_, j_, k_)
 
 
 def first_by(df: DataFrame, key: str | list[str], pos: str) -> DataFrame:
@@ -29,11 +77,9 @@ def first_by(df: DataFrame, key: str | list[str], pos: str) -> DataFrame:
 
 def hash_sample(df: DataFrame, key: str, seed: str | int, n: int, by: str | None = None) -> DataFrame:
     """n rows (of each group) without replacement, the same for the same seed."""
-    order = hash_order(F.col(key), seed)
-    if by is None:
-        return df.withColumn("_h", order).orderBy("_h", key).limit(n).drop("_h")
-    w = Window.partitionBy(by).orderBy(order, key)
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    r_, h_ = _names(df, "r", "h")
+    rows = df.withColumn(h_, hash_order(F.col(key), seed))
+    return ranked_within(rows, by, [F.col(h_), F.col(f"`{key}`")], r_).where(F.col(r_) <= n).drop(r_, h_)
 
 
 def quotas(ratios: dict[str, float], total: int) -> dict[str, int]:
@@ -45,8 +91,8 @@ def quota_mix(df: DataFrame, domain: str, pos: str, ratios: dict[str, float], to
     """The first rows of each domain up to its quota."""
     own = quotas(ratios, total)
     limit = F.create_map(*[x for k, n in own.items() for x in (F.lit(k), F.lit(n))])
-    rank = F.row_number().over(Window.partitionBy(domain).orderBy(pos))
-    return df.where(F.col(domain).isin(list(own))).withColumn("_r", rank).where(F.col("_r") <= limit[F.col(domain)]).drop("_r")
+    r_ = _names(df, "r")[0]
+    return ranked_within(df.where(F.col(domain).isin(list(own))), domain, [F.col(pos)], r_).where(F.col(r_) <= limit[F.col(domain)]).drop(r_)
 
 
 def domain_counts(df: DataFrame, domain: str) -> DataFrame:
@@ -56,26 +102,29 @@ def domain_counts(df: DataFrame, domain: str) -> DataFrame:
 def hash_split(df: DataFrame, key: str, seed: str | int, share: float, least: int = 0) -> DataFrame:
     """df with `split`: val for max(least, int(n * share)) rows first in hash order, train for the others.
 
-    The cut is the hash of the last val row, so rows are sorted once and no global number is given. A share of 1 or more makes all rows val.
+    The cut is found by counting hashes by their first HEX digits, then in the one group of equal digits that holds it. A share of 1 or more makes all rows val.
     """
     n = df.count()
     want = n if share >= 1 else max(least, int(n * share))
     if n and want >= n and share < 1:
         raise ValueError("the split leaves no training rows")
-    order = hash_order(F.col(key), seed)
     if want == 0:
         return df.withColumn("split", F.lit("train"))
-    cut = df.select(order.alias("h"), F.col(key).alias("k")).orderBy("h", "k").limit(want).agg(F.max(F.struct("h", "k")).alias("c")).first()["c"]
-    inside = (order < cut["h"]) | ((order == cut["h"]) & (F.col(key) <= F.lit(cut["k"])))
+    order = hash_order(F.col(key), seed)
+    digits = F.substring(order, 1, HEX)
+    per = df.select(order.alias("h"), F.col(key).alias("k"), digits.alias("d"))
+    counts = per.groupBy("d").agg(F.count("*").alias("n"))  # 16 ** HEX rows at most
+    cut = counts.withColumn("before", F.sum("n").over(Window.orderBy("d")) - F.col("n")).where(f"before < {want} and before + n >= {want}").first()
+    last = per.where(F.col("d") == cut["d"]).orderBy("h", "k").limit(want - cut["before"]).agg(F.max(F.struct("h", "k")).alias("c")).first()["c"]
+    inside = (order < last["h"]) | ((order == last["h"]) & (F.col(key) <= F.lit(last["k"])))
     return df.withColumn("split", F.when(inside, "val").otherwise("train"))
 
 
 def tail_split(df: DataFrame, group: str, pos: str, share: float) -> DataFrame:
     """df with `split`: val for the last int(n * share) rows of each group."""
-    w = Window.partitionBy(group)
-    rank = F.row_number().over(w.orderBy(pos))
-    n = F.count("*").over(w)
-    return df.withColumn("split", F.when(rank > n - F.floor(n * F.lit(share)), "val").otherwise("train"))
+    r_, n_ = _names(df, "r", "n")
+    done = ranked_within(df, group, [F.col(pos)], r_, n_)
+    return done.withColumn("split", F.when(F.col(r_) > F.col(n_) - F.floor(F.col(n_) * F.lit(share)), "val").otherwise("train")).drop(r_, n_)
 
 
 def message(role: str, content: Column) -> Column:

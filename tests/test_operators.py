@@ -297,3 +297,41 @@ def test_paragraphs(spark):
     )
     corpus, questions = readers.paragraphs(rows)
     assert [r.qid for r in questions.collect()] == ["a"] and corpus.first().text == "t s1 s2" and corpus.count() == 4
+
+
+def test_numbered_keeps_every_row(spark, tmp_path):
+    """With further columns, over files and many partitions: positions 0..n-1 in the key's order, no row lost."""
+    from lodestar.operators import mixing
+
+    n = 1_000_000
+    df = spark.range(n).selectExpr("(id * 7919) % 1000003 AS k", "concat('x', id) AS more", "id AS slice").repartition(16)
+    mixing.numbered(df, "k").write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.columns == ["k", "more", "slice", "pos"] and got.count() == n
+    assert got.selectExpr("count(distinct pos)", "min(pos)", "max(pos)", "count(distinct more)").first()[0:] == (n, 0, n - 1, n)
+    wrong = got.selectExpr("k", "pos", "lag(k) OVER (PARTITION BY pos div 10000 ORDER BY pos) AS was").where("was > k").count()
+    assert wrong == 0
+
+
+def test_ranks_over_slices(spark, monkeypatch):
+    """Positions within groups don't depend on how many slices the rows are cut into."""
+    from lodestar.operators import mixing
+
+    rows = [(i, ("a", "b", None)[i % 3], (i * 37) % 500) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, g string, pos long").repartition(5)
+    key = lambda out: sorted((r.id, r.r, r.n) for r in out.collect())
+    from pyspark.sql import functions as F
+
+    one = key(mixing.ranked_within(df, "g", [F.col("pos"), F.col("id")], "r", "n"))
+    split = {r.id: r.split for r in mixing.hash_split(df, "id", 3, 0.1).collect()}
+    tail = {r.id: r.split for r in mixing.tail_split(df, "g", "pos", 0.1).collect()}
+    monkeypatch.setattr(mixing, "SLICE", 20)
+    assert key(mixing.ranked_within(df, "g", [F.col("pos"), F.col("id")], "r", "n")) == one
+    assert {r.id: r.split for r in mixing.tail_split(df, "g", "pos", 0.1).collect()}.keys() == tail.keys()
+    assert sum(v == "val" for v in split.values()) == 60 and sum(v == "val" for v in tail.values()) == 60
+    for g in ("a", "b", None):
+        own = sorted(((r[2], r[0]) for r in rows if r[1] == g))
+        want = {i: (k + 1, len(own)) for k, (_, i) in enumerate(own)}
+        assert {i: (r, n) for i, r, n in one if i in want} == want
+    assert mixing.numbered(df, "id").where("pos != id").count() == 0
+    assert mixing.hash_sample(df, "id", 1, 7).count() == 7 and mixing.hash_sample(df, "id", 1, 7, "g").count() == 21
