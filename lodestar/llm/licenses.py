@@ -8,6 +8,10 @@ share of the template's words that are aligned; a stretch matches at MIN_COVERAG
 not stretched over more than MAX_SPAN times the template's words. Of overlapping matches the
 best by 2 * aligned / (template words + span words) stays, then the one with more aligned words.
 
+Names and numbers tell licenses apart, so a template's DECIDING words and version numbers have all to be
+aligned, and the span may hold no QUALIFIERS beside the aligned ones, nor, for a template with a version, another number of
+one digit.
+
 Defined cases: null and empty texts have no match and no row; repeated rows give repeated rows;
 a license that stands twice in a text gives two rows.
 """
@@ -28,21 +32,67 @@ from lodestar.llm import kernel
 from lodestar.llm.common import bounded_batches
 
 MIN_COVERAGE, MAX_SPAN = 0.8, 1.6
-#: Notices by SPDX name.
-TEMPLATES = {
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "MIT-notice": "Released under the MIT License.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC0-1.0": "Dedicated to the public domain under CC0 1.0 Universal.",
+_GNU = "you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License"
+_FSF = "as published by the Free Software Foundation"
+_ATTRIBUTIONS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+
+
+def _gnu(name: str, kind: str, version: str, what: str = "program") -> dict[str, list[str]]:
+    """The notices and file headers of a GNU license."""
+    under = _GNU.format(kind=f"{kind} " if kind else "")
+    title = f"GNU {kind} General Public License" if kind else "GNU General Public License"
+    return {
+        f"{name}-only": [
+            f"This work is licensed under the {title}, version {version}.",
+            f"This {what} is free software; {under} version {version} {_FSF}.",
+            f"This {what} is free software: {under} {_FSF}, version {version}.",
+        ],
+        f"{name}-or-later": [
+            f"This work is licensed under the {title}, version {version} or any later version.",
+            f"This {what} is free software; {under} {_FSF}; either version {version} of the License, or (at your option) any later version.",
+        ],
+    }
+
+
+#: Notices, headers and opening texts by SPDX name.
+TEMPLATES: dict[str, list[str]] = {
+    **_gnu("GPL-2.0", "", "2"),
+    **_gnu("GPL-3.0", "", "3"),
+    **_gnu("LGPL-2.0", "Library", "2", "library"),
+    **_gnu("LGPL-2.1", "Lesser", "2.1", "library"),
+    **_gnu("LGPL-3.0", "Lesser", "3"),
+    **_gnu("AGPL-3.0", "Affero", "3"),
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions.",
+    ],
+    "MIT": [
+        "Released under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    ],
+    "ISC": [
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "BSD-2-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"],
+    "CC0-1.0": ["Dedicated to the public domain under CC0 1.0 Universal."],
+    **{
+        f"CC-{short}-{version}": [f"Licensed under CC {short} {version}.", f"This work is licensed under a Creative Commons {long} {version} {region} License."]
+        for version, region in (("4.0", "International"), ("3.0", "Unported"))
+        for short, long in _ATTRIBUTIONS.items()
+    },
 }
+#: Words that have to be aligned where a template has them, and words that change a license's meaning.
+DECIDING = {"affero", "lesser", "library", "later", "apache", "mozilla", "mit", "isc", "cc", "cc0", "by", "nc", "nd", "sa", "attribution", "noncommercial", "noderivatives", "sharealike"}
+QUALIFIERS = {"affero", "lesser", "nc", "nd", "sa", "noncommercial", "noderivatives", "noderivs", "sharealike"}
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _MEMBER = np.zeros(256, bool)
 _MEMBER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -105,19 +155,24 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], coverage: float = MIN_COVERAGE):
+    def __init__(self, templates: dict[str, str | list[str]], coverage: float = MIN_COVERAGE):
         self.coverage = coverage
-        ids: dict[bytes, int] = {}
-        self.templates = [(name, [ids.setdefault(w, len(ids)) for w in tokens(t)]) for name, t in templates.items()]
-        self.templates = [(n, t) for n, t in self.templates if t]
+        digits = [str(d).encode() for d in range(10)]
+        ids: dict[bytes, int] = {w: i for i, w in enumerate([*digits, *sorted(q.encode() for q in QUALIFIERS)])}
+        named = [(name, tokens(t)) for name, own in templates.items() for t in ([own] if isinstance(own, str) else own)]
+        self.templates = [(name, [ids.setdefault(w, len(ids)) for w in t]) for name, t in named if t]
+        numbers, other = set(range(10)), {ids[q.encode()] for q in QUALIFIERS}
+        deciding = {ids[w.encode()] for w in DECIDING if w.encode() in ids}
+        self.must = []  # of each template the positions that have to be aligned
+        self.bars = []  # and the words that may not stand in its span unaligned
+        for _, t in self.templates:
+            version = [j for j, w in enumerate(t) if w in numbers and len(t) < 60]  # longer ones number their clauses
+            self.must.append({j for j, w in enumerate(t) if w in deciding} | set(version))
+            self.bars.append(other | (numbers if version else set()))
         data, offs = kernel.joined(list(ids))
         hashes = kernel.span_hash(kernel.running_hash(data), offs[:-1], offs[1:]) if ids else np.zeros(0, np.uint64)
         self.order = np.argsort(hashes)
         self.sorted = hashes[self.order]
-        df: dict[int, int] = {}
-        for _, t in self.templates:
-            for w in set(t):
-                df[w] = df.get(w, 0) + 1
 
     def hits(self, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Of each text with template words: its row, the words' places among its words, their ids, starts and ends in bytes."""
@@ -132,11 +187,19 @@ class Scanner:
             k = known[cut[d] : cut[d + 1]]
             yield int(d), k - first[d], self.order[at[k]], starts[k] - offs[d], ends[k] - offs[d]
 
+    def barred(self, t: int, got: list[tuple[int, int]], word: list[int]) -> bool:
+        """Whether a word stands unaligned in the span that makes it another license."""
+        aligned = {i for i, _ in got}
+        return any(word[i] in self.bars[t] and i not in aligned for i in range(got[0][0], got[-1][0]))
+
     def scan(self, place: list[int], word: list[int]) -> list[tuple[int, list[tuple[int, int]], float]]:
         """Matches of one text as (template, aligned pairs of hit and template position, score). place, word: of the hits."""
         have = Counter(word)
         found = []
         for t, (_, tmpl) in enumerate(self.templates):
+            must = self.must[t]
+            if not all(have[tmpl[j]] for j in must):
+                continue
             kinds = Counter(tmpl)
             need = self.coverage * len(tmpl)
             # no more of a word can be aligned than stand on either side
@@ -159,7 +222,7 @@ class Scanner:
                     if len(pairs) >= need:
                         got = [(own[i + a], b) for a, b in pairs]
                         span = place[got[-1][0]] - place[got[0][0]] + 1
-                        if span <= MAX_SPAN * len(tmpl) + 1:
+                        if span <= MAX_SPAN * len(tmpl) + 1 and must <= {b for _, b in got} and not self.barred(t, got, word):
                             found.append((t, got, 2 * len(got) / (len(tmpl) + span)))
                 w = word[own[i]]
                 inside[w] -= 1
@@ -173,7 +236,7 @@ class Scanner:
         return sorted(kept, key=lambda m: m[1][0][0])
 
 
-def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, text: str = "text", coverage: float = MIN_COVERAGE) -> DataFrame:
+def scan_licenses(df: DataFrame, templates: dict[str, str | list[str]] | None = None, text: str = "text", coverage: float = MIN_COVERAGE) -> DataFrame:
     """One row per match: SCHEMA. Texts are not shuffled."""
     bounded_batches(df.sparkSession)
     chosen = dict(TEMPLATES if templates is None else templates)
