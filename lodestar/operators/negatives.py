@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import hash_order
 from lodestar.operators.lexical import top_k
+from lodestar.operators.mixing import ranked_within
 
 
 def passage_groups(df: DataFrame, query: str = "query", passages: str = "passages") -> DataFrame:
@@ -59,3 +60,33 @@ def mixed(best: DataFrame, filler: DataFrame, n_best: int, n_fill: int) -> DataF
 def collected(negatives: DataFrame, n: int) -> DataFrame:
     """(qid, negatives): ids in order of rank, n at most."""
     return negatives.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "did"))).alias("s")).select("qid", F.transform(F.slice("s", 1, n), lambda x: x["did"]).alias("negatives"))
+
+
+def from_positives(rows: DataFrame, key: str, positive: str, n: int, seed: str = "pos") -> DataFrame:
+    """(key, negatives): the n distinct positives that follow the own one in hash order, from the first again after the last."""
+    pool = rows.where(F.col(positive).isNotNull()).select(F.col(positive).alias("other")).distinct().withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), F.col("other"))))
+    placed = ranked_within(pool, None, [F.col("h"), F.col("other")], "at").select("other", (F.col("at") - 1).alias("at"))
+    m = placed.count()
+    if m < 2:
+        return rows.select(key, F.array().cast("array<string>").alias("negatives"))
+    own = rows.select(F.col(key).alias("row"), F.col(positive).alias("mine")).join(placed, F.col("mine") == F.col("other"))
+    wanted = own.select("row", "at", F.explode(F.sequence(F.lit(1), F.lit(min(n, m - 1)))).alias("k"))
+    found = wanted.select("row", "k", F.pmod(F.col("at") + F.col("k"), F.lit(m)).alias("at")).join(placed, "at")
+    return found.groupBy(F.col("row").alias(key)).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "other"))), lambda x: x["other"]).alias("negatives"))
+
+
+def filled(rows: DataFrame, key: str, domain: str, old: str, most: int, seed: str = "fill") -> DataFrame:
+    """(key, negatives): the old negative, then other rows' old negatives, of the same domain first, then of all, up to `most` (D3).
+
+    Others are the rows that follow in hash order, `most` in the domain and `most` overall, so the work per row is fixed.
+    """
+    h = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
+    base = rows.select(F.col(key).alias("key"), F.coalesce(F.col(domain), F.lit("")).alias("domain"), F.col(old).alias("old"), h.alias("h"))
+    placed = ranked_within(ranked_within(base, "domain", [F.col("h"), F.col("key")], "near", "n_near"), None, [F.col("h"), F.col("key")], "far", "n_far")
+    steps = F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k")
+    near = placed.select("key", "domain", "n_near", "near", steps).where("k < n_near").select("key", "k", "domain", (F.pmod(F.col("near") - 1 + F.col("k"), F.col("n_near")) + 1).alias("near"))
+    far = placed.select("key", "n_far", "far", steps).where("k < n_far").select("key", "k", (F.pmod(F.col("far") - 1 + F.col("k"), F.col("n_far")) + 1).alias("far"))
+    first = placed.select("key", F.lit(0).alias("kind"), F.lit(0).alias("k"), "old")
+    got = first.union(near.join(placed.select("domain", "near", "old"), ["domain", "near"]).select("key", F.lit(1), "k", "old")).union(far.join(placed.select("far", "old"), "far").select("key", F.lit(2), "k", "old"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("kind", "k", "old"))), lambda x: x["old"])
+    return got.where("old is not null").groupBy("key").agg(F.slice(F.array_distinct(listed), 1, most).alias("negatives")).withColumnRenamed("key", key)

@@ -335,3 +335,24 @@ def test_ranks_over_slices(spark, monkeypatch):
         assert {i: (r, n) for i, r, n in one if i in want} == want
     assert mixing.numbered(df, "id").where("pos != id").count() == 0
     assert mixing.hash_sample(df, "id", 1, 7).count() == 7 and mixing.hash_sample(df, "id", 1, 7, "g").count() == 21
+
+
+def test_driver_rules():
+    from lodestar.operators import records
+
+    assert records.arguments({"a_b": True, "c": [1, 2], "d": None, "e": False, "f": "x"}) == ["--a-b", "--c", "1", "2", "--f", "x"]
+    assert records.chosen_configs(["x/b.yaml", "a/z.yaml", "x/ab.yaml"], "a") == ["a/z.yaml", "x/ab.yaml", "x/b.yaml"] and records.chosen_configs(["q/b", "a/c"], "b") == ["q/b"]
+    assert records.renamed_class("old.models.X", {"old": "new", "old.models": "new.core"}) == "new.core.X" and records.renamed_class("older.X", {"old": "new"}) == "older.X"
+    assert records.judge_settings({"api_key": "k"}, {"llm_base_url": "u", "model": "m"}) == {"base_url": "u", "api_key": "k", "model": "m"} and records.judge_settings({}, {"model": "m"}) is None
+    assert records.template_of({}, {"template": "t"}, "m") == "t" and records.template_of({}, {}, "m") == "m"
+
+
+def test_row_formats(spark):
+    from lodestar.operators import records
+
+    assert records.row_format(spark.createDataFrame([], "query string, positive string, negatives array<string>")) == "triplet"
+    assert records.row_format(spark.createDataFrame([], "query string, passages string")) == "passages"
+    with pytest.raises(ValueError):
+        records.row_format(spark.createDataFrame([], "query string"))
+    one = spark.createDataFrame([("a", ["b", "c"])], "x string, y array<string>")
+    assert one.select(records.as_list(one, "x"), records.as_list(one, "y")).first()[0:] == (["a"], ["b", "c"])
