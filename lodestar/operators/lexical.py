@@ -40,8 +40,22 @@ def build(docs: DataFrame, did: str, text: str) -> Index:
     sized = tokens.select("did", "t", F.size("t").cast("long").alias("dl"))
     postings = sized.select("did", "dl", F.explode("t").alias("term")).groupBy("did", "dl", "term").agg(F.count("*").alias("tf"))
     stats = sized.agg(F.count("*").alias("n"), F.when(F.sum("dl") > 0, F.avg("dl")).otherwise(F.lit(1.0)).alias("avgdl"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
-    return Index(postings, terms, stats)
+    return Index(postings, _terms(postings, stats), stats)
+
+
+def _terms(postings: DataFrame, stats: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
+
+
+def stored(docs: DataFrame, did: str, text: str, path: str) -> Index:
+    """An index written to `path` and read from it: texts are read for the postings and for the statistics, never again; terms come from the stored postings."""
+    spark = docs.sparkSession
+    built = build(docs, did, text)
+    built.postings.write.parquet(f"{path}/postings")
+    built.stats.write.parquet(f"{path}/stats")
+    postings, stats = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "stats"))
+    _terms(postings, stats).write.parquet(f"{path}/terms")
+    return Index.load(spark, path)
 
 
 def scores(index: Index, queries: DataFrame, qid: str, text: str) -> DataFrame:

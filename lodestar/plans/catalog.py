@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import text as T
 from lodestar.functions import vector as V
 from lodestar.operators import align, answers, batch_eval, dense, lexical, mixing, models, negatives, ranking, report
+from lodestar.sources.sinks import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,8 +60,16 @@ _QRELS = "qrels AS (SELECT b.item_id AS qid, d.doc_id AS did FROM benchmark b JO
 _HEAD = r"SELECT doc_id AS qid, array_to_string(list_filter(string_split_regex(text, '[\s\x0B]+'), lambda x: x <> '')[4:9], ' ') AS qt FROM documents WHERE doc_id % 20 = 0"
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
 def index(spark: SparkSession, sf_dir: str) -> lexical.Index:
-    return lexical.build(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    """The documents' index, written once a session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = scratch(spark)
+        return lexical.stored(_table(spark, sf_dir, "documents"), "doc_id", "text", _INDEXES[key])
+    return lexical.Index.load(spark, _INDEXES[key])
 
 
 def contains_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,14 +12,7 @@ from lodestar.functions import vector as V
 from lodestar.operators import batch_eval, chat, mixing, negatives, records, stats
 from lodestar.plans.catalog import _BATCH, _SIM, _TOKENS, _VEC, _batched, _table, _triplets, _vectors, query
 from lodestar.sources import readers, sinks
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir; where that is unset and all runs here (tests), in a temporary one."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    return f"{(at or tempfile.mkdtemp(prefix='lodestar-')).rstrip('/')}/files-{uuid.uuid4().hex}"
+from lodestar.sources.sinks import scratch
 
 
 # -- records -------------------------------------------------------------------------------
