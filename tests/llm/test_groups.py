@@ -129,30 +129,6 @@ def test_passages_on_two_diagonals():
     assert substrings.passages(one, fill) == [] and substrings.passages(one[:0], fill) == []
 
 
-def test_plain_pairs_are_as_passages_gives_them():
-    rng, seen = np.random.default_rng(5), set()
-    for _ in range(40):
-        a, b = [], []
-        for _ in range(30):
-            common = rng.integers(0, 1 << 62, int(rng.integers(0, 120))).astype(np.uint64)
-            put = common.copy()
-            if rng.random() < 0.5 and len(put):  # edited, or with a repeat of its own
-                put[rng.integers(0, len(put), int(rng.integers(1, 5)))] = put[0] if rng.random() < 0.5 else 7
-            around = [rng.integers(0, 1 << 62, int(rng.integers(0, 40))).astype(np.uint64) for _ in range(4)]
-            a.append(np.r_[around[0], common, around[1]])
-            b.append(np.r_[around[2], put, around[3]])
-        ends = [np.r_[0, np.cumsum([len(x) for x in v])] for v in (a, b)]
-        for t in (0.5, 0.8, 1.0):
-            kinds = zip(*(v.tolist() for v in substrings._plain(np.concatenate(a), np.concatenate(b), *ends, t)), strict=True)
-            for x, y, (kind, p, q, n) in zip(a, b, kinds, strict=True):
-                seen.add(kind)
-                if kind < 2:
-                    assert substrings.passages(x, y, t) == [(p, p + n, q, q + n, 1.0)][:kind]
-    assert seen == {0, 1, 2}
-    none = np.zeros(0, np.uint64)
-    assert substrings._plain(none, none, np.array([0, 0]), np.array([0, 0]), 0.8)[0].tolist() == [0]
-
-
 def test_passages_are_found(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(3000)]
