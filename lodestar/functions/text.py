@@ -58,6 +58,18 @@ def length_ratio(reference: Column, candidate: Column) -> Column:
     return F.size(candidate) / F.greatest(F.size(reference), F.lit(1))
 
 
+def shortened(c: Column | str, n: int = 200) -> Column:
+    """The first n characters, for tables of examples."""
+    return F.substring(_text(c), 1, n)
+
+
+def conditioned(document: Column, query: Column | None) -> Column:
+    """A document's text as an encoder that knows the query reads it (V4); the plain text if there is no query."""
+    if query is None:
+        return _text(document)
+    return F.when(query.isNull(), _text(document)).otherwise(F.concat(F.lit("Q: "), query, F.lit("\nD: "), _text(document)))
+
+
 def slug(c: Column | str) -> Column:
     made = F.regexp_replace(F.regexp_replace(F.lower(_text(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.when(made == "", "run").otherwise(made)

@@ -65,3 +65,8 @@ def last_token(tokens: Column, mask: Column) -> Column:
     """The token at the mask's sum (right padding)."""
     n = F.aggregate(mask, F.lit(0), lambda s, x: s + x.cast("int"))
     return F.when(n > 0, doubles(F.get(tokens, n - 1)))
+
+
+def cls_token(tokens: Column) -> Column:
+    """The first token, whatever the mask (F15); null if there is none."""
+    return F.when(F.size(tokens) > 0, doubles(F.get(tokens, F.lit(0))))

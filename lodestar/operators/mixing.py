@@ -120,13 +120,20 @@ def hash_split(df: DataFrame, key: str, seed: str | int, share: float, least: in
     return df.withColumn("split", F.when(inside, "val").otherwise("train"))
 
 
-def tail_split(df: DataFrame, group: str, pos: str, share: float) -> DataFrame:
+def tail_split(df: DataFrame, group: str | None, pos: str, share: float) -> DataFrame:
     """df with `split`: val for the last int(n * share) rows of each group."""
     r_, n_ = _names(df, "r", "n")
     done = ranked_within(df, group, [F.col(pos)], r_, n_)
     return done.withColumn("split", F.when(F.col(r_) > F.col(n_) - F.floor(F.col(n_) * F.lit(share)), "val").otherwise("train")).drop(r_, n_)
 
 
+def head_share(df: DataFrame, pos: str, share: float, group: str | None = None) -> DataFrame:
+    """The first floor(n * share) rows (of each group) by position."""
+    r_, n_ = _names(df, "r", "n")
+    done = ranked_within(df, group, [F.col(pos)], r_, n_)
+    return done.where(F.col(r_) <= F.floor(F.col(n_) * F.lit(share))).drop(r_, n_)
+
+
 def message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), F.coalesce(content, F.lit("")).alias("content"))
 

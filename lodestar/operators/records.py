@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import is_blank
-from lodestar.operators.mixing import ranked_within
+from lodestar.operators.mixing import ranked_within, tail_split
 
 
 def valid_text(c: Column) -> Column:
@@ -132,3 +132,13 @@ def renamed_class(path: str, prefixes: dict[str, str]) -> str:
         if path == old or path.startswith(f"{old}."):
             return prefixes[old] + path[len(old) :]
     return path
+
+
+def teacher_texts(questions: DataFrame, corpus: DataFrame, pos: str, limit: int, share: float, docs: int = 5) -> DataFrame:
+    """(split, kind, text) that a teacher has to encode (D14): of the first `limit` questions by `pos`, with `share` of them from the end as split
+    val, each question's text, and the distinct texts of each split's first `docs` paragraphs. corpus(qid, local, text): the paragraphs by their place.
+    """
+    first = ranked_within(questions, None, [F.col(pos)], "nth_question").where(F.col("nth_question") <= limit)
+    parts = tail_split(first.select("qid", "question", "nth_question"), None, "nth_question", share)
+    texts = corpus.where(F.col("local") < docs).join(parts.select("qid", "split"), "qid").select("split", F.lit("document").alias("kind"), "text").distinct()
+    return parts.select("split", F.lit("query").alias("kind"), F.col("question").alias("text")).unionByName(texts)

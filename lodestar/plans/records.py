@@ -415,3 +415,34 @@ def text_rules(spark, sf_dir):
 def history_rows(spark, sf_dir):
     h = spark.range(9).select(F.col("id").alias("step"), F.lit(0).alias("epoch"), (F.lit(1.0) / (F.col("id") + 1)).alias("loss"))
     return sinks.history_rows(h, "d", "r")
+
+
+@query("SELECT item_id::VARCHAR AS qid, (item_id * 3 + k)::VARCHAR AS did FROM benchmark, (VALUES (0), (0), (2)) t(k) WHERE item_id % 5 <> 0 OR k <> 2")
+def ordered_qrels(spark, sf_dir):
+    """Judgements with a repeated line, one of score 0, and for some items a line of two fields."""
+    at = scratch(spark)
+    judged = _table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array(*[F.lit(k) for k in (0, 0, 1, 2)])).alias("k"))
+    score = F.when(F.col("k") == 1, "0").when((F.col("k") == 2) & (F.col("item_id") % 5 == 0), F.lit(None)).otherwise("1")
+    lines = judged.select(F.concat_ws("\t", "item_id", (F.col("item_id") * 3 + F.col("k")).cast("string"), score).alias("value"))
+    lines.union(spark.range(1).select(F.lit("query-id\tcorpus-id\tscore"))).write.text(at)
+    return readers.read_ordered_qrels(spark, at).select("qid", "did")
+
+
+_TEACH = "WITH q AS (SELECT *, row_number() OVER (ORDER BY item_id) AS r FROM benchmark), f AS (SELECT *, count(*) OVER () AS n FROM q WHERE r <= 30), s AS (SELECT *, CASE WHEN r > n - floor(n * 0.2::DOUBLE) THEN 'val' ELSE 'train' END AS split FROM f)"
+
+
+@query(f"{_TEACH} SELECT split, 'query' AS kind, text FROM s UNION ALL SELECT DISTINCT split, 'document', 't' || k || ' one. two ' || item_id FROM s, range(2) t(k)")
+def teacher_texts(spark, sf_dir):
+    rows = _paragraphs(spark, sf_dir).withColumn("pos", F.col("id").cast("long"))
+    return records.teacher_texts(rows.select(F.col("id").alias("qid"), "question", "pos"), readers.paragraphs(rows)[0], "pos", 30, 0.2, 2)
+
+
+@query("SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE r <= floor(n * 0.3::DOUBLE)")
+def head_shares(spark, sf_dir):
+    return mixing.head_share(_table(spark, sf_dir, "documents").select("lang", "doc_id"), "doc_id", 0.3, "lang")
+
+
+@query("SELECT doc_id, substr(coalesce(text, ''), 1, 100) AS short, CASE WHEN lang IS NULL THEN coalesce(text, '') ELSE 'Q: ' || lang || chr(10) || 'D: ' || coalesce(text, '') END AS conditioned FROM documents")
+def prompt_texts(spark, sf_dir):
+    """Texts cut for a table of examples, and as an encoder that knows the query reads them."""
+    return _table(spark, sf_dir, "documents").select("doc_id", T.shortened("text", 100).alias("short"), T.conditioned(F.col("text"), F.col("lang")).alias("conditioned"))

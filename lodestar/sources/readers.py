@@ -8,6 +8,7 @@ from functools import reduce
 from pathlib import PurePosixPath
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +103,13 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("score > 0").select("qid", "did", "pos")
 
 
+def read_ordered_qrels(spark: SparkSession, path: str) -> DataFrame:
+    """(qid, did, pos) of judgements above 0 in their order, duplicates kept; the head line and lines of fewer than three fields go."""
+    f = F.split("value", "\t")
+    rows = in_file_order(spark, path).where(F.size(f) >= 3).select("pos", f[0].alias("qid"), f[1].alias("did"), F.expr("try_cast(split(value, '\t')[2] AS double)").alias("score"))
+    return rows.where("score > 0").select("qid", "did", "pos")
+
+
 def read_collection(spark: SparkSession, folder: str, split: str = "test") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(corpus, queries, qrels) of a folder with corpus.jsonl, queries.jsonl, qrels/<split>.tsv; qrels are distinct."""
     return read_corpus(spark, f"{folder}/corpus.jsonl"), read_queries(spark, f"{folder}/queries.jsonl"), read_qrels(spark, f"{folder}/qrels/{split}.tsv").select("qid", "did").distinct()
@@ -129,8 +137,13 @@ def read_teacher(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_curve(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV of numbers, all as doubles."""
-    raw = spark.read.option("header", True).csv(path)
+    """A CSV of numbers, all as doubles; a table without columns or rows if there is no such file."""
+    try:
+        raw = spark.read.option("header", True).csv(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "struct<>")
     return raw.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in raw.columns])
 
 

@@ -356,3 +356,9 @@ def test_row_formats(spark):
         records.row_format(spark.createDataFrame([], "query string"))
     one = spark.createDataFrame([("a", ["b", "c"])], "x string, y array<string>")
     assert one.select(records.as_list(one, "x"), records.as_list(one, "y")).first()[0:] == (["a"], ["b", "c"])
+
+
+def test_missing_curve_and_first_token(spark, tmp_path):
+    assert readers.read_curve(spark, str(tmp_path / "none.csv")).collect() == []
+    rows = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0]],), ([],), (None,)], "t array<array<double>>")
+    assert [r.c for r in rows.select(V.cls_token(F.col("t")).alias("c")).collect()] == [[1.0, 2.0], None, None]
