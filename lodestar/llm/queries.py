@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import fingerprints, jaccard, licenses, lm, packing, pieces, quality, substrings, tokens, toxicity
+from lodestar.llm import exact, fingerprints, jaccard, licenses, lm, packing, pieces, quality, substrings, tokens, toxicity
 from lodestar.llm.common import crc_remainder, documents
 
 
@@ -65,8 +65,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_classes(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_license_scan, op2_document_fingerprints, op3_lm_scoring, op4_substring_dedup, op5_token_counts, op6_sentencepiece, op7_ngram_jaccard_join, op8_toxicity, op9_quality_rules, op10_best_fit_packing]
+    own = [op1_license_scan, op2_document_fingerprints, op3_lm_scoring, op4_substring_dedup, op5_token_counts, op6_sentencepiece, op7_ngram_jaccard_join, op8_toxicity, op9_quality_rules, op10_best_fit_packing, op11_exact_dedup]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -88,5 +92,12 @@ SELECT doc_id, least(doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = doc_id),
 """
 
 
+_EXACT = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+g AS (SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_ngram_jaccard_join": _JACCARD}
+    return {"op7_ngram_jaccard_join": _JACCARD, "op11_exact_dedup": _EXACT}
