@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import exact, fingerprints, jaccard, licenses, lm, packing, pieces, quality, substrings, tokens, toxicity
+from lodestar.llm import exact, fingerprints, funnels, jaccard, licenses, lm, packing, pieces, quality, substrings, tokens, toxicity
 from lodestar.llm.common import crc_remainder, documents
 
 
@@ -69,8 +69,12 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_classes(documents(spark, sf_dir))
 
 
+def op13_funnel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnels.funnel_counts(spark.read.parquet(f"{sf_dir}/clicks.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_license_scan, op2_document_fingerprints, op3_lm_scoring, op4_substring_dedup, op5_token_counts, op6_sentencepiece, op7_ngram_jaccard_join, op8_toxicity, op9_quality_rules, op10_best_fit_packing, op11_exact_dedup]
+    own = [op1_license_scan, op2_document_fingerprints, op3_lm_scoring, op4_substring_dedup, op5_token_counts, op6_sentencepiece, op7_ngram_jaccard_join, op8_toxicity, op9_quality_rules, op10_best_fit_packing, op11_exact_dedup, op13_funnel_counts]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -99,5 +103,28 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 
+def _next_step(k: int) -> str:
+    """CTE s<k>: the attempts that reach step k, from those of the step before."""
+    kinds = "".join(f", a.k{i}" for i in range(2, 5))
+    return f"""n{k} AS (SELECT a.funnel, a.client_id, a.begun, a.t AS was, e.t AS t{kinds}, a.x FROM s{k - 1} a ASOF JOIN e ON a.client_id = e.client_id AND a.k{k} = e.kind AND a.t < e.t),
+x{k} AS (SELECT a.*, e.t AS stop FROM n{k} a ASOF LEFT JOIN e ON a.client_id = e.client_id AND a.x = e.kind AND a.was < e.t),
+s{k} AS (SELECT * EXCLUDE (stop) FROM x{k} WHERE t - begun <= 1800000000 AND (stop IS NULL OR stop > t))"""
+
+
+_FUNNELS = f"""
+WITH e AS (SELECT DISTINCT client_id, kind, epoch_us(arrived_at) AS t FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL AND arrived_at IS NOT NULL),
+f(funnel, k1, k2, k3, k4, x) AS (VALUES ('A', 'view', 'click', 'view', 'purchase', 'error'), ('B', 'signup', 'view', 'click', 'purchase', 'error'), ('C', 'click', 'click', 'purchase', 'view', 'signup')),
+s1 AS (SELECT funnel, client_id, t AS begun, t AS was, t, k2, k3, k4, x FROM e JOIN f ON kind = k1),
+{_next_step(2)},
+{_next_step(3)},
+{_next_step(4)},
+r AS (SELECT funnel, client_id, 1 AS step, 0 AS dt FROM s1 {" ".join(f"UNION ALL SELECT funnel, client_id, {k}, t - was FROM s{k}" for k in (2, 3, 4))}),
+p AS (SELECT funnel, client_id, step, count(*) AS n, list_sort(list(dt))[(90 * count(*) + 99) // 100] AS p FROM r GROUP BY ALL),
+c AS (SELECT funnel, client_id, {", ".join(f"coalesce(max(n) FILTER (step = {k}), 0) AS n{k}" for k in (1, 2, 3, 4))}, max(step) AS deepest,
+  {", ".join(f"max(p) FILTER (step = {k}) AS t{k}" for k in (2, 3, 4))} FROM p GROUP BY ALL)
+SELECT *, count(*) OVER (PARTITION BY funnel, deepest) AS same_depth FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_ngram_jaccard_join": _JACCARD, "op11_exact_dedup": _EXACT}
+    return {"op7_ngram_jaccard_join": _JACCARD, "op11_exact_dedup": _EXACT, "op13_funnel_counts": _FUNNELS}

@@ -6,11 +6,13 @@ import collections
 import hashlib
 import random
 import re
+from datetime import datetime, timedelta
 
 import duckdb
+import pandas as pd
 import pytest
 
-from lodestar.llm import exact, queries
+from lodestar.llm import exact, funnels, queries
 
 
 @pytest.mark.parametrize("name", sorted(set(queries.oracle_sql()) - {"op7_ngram_jaccard_join"}))
@@ -20,8 +22,11 @@ def test_query_equals_its_sql(spark, sf, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.execute(queries.oracle_sql()[name]).df()
     got = queries.queries()[name](spark, sf).toPandas()[list(want.columns)]
-    rows = lambda f: sorted(tuple(None if v != v or v is None else v for v in r) for r in f.astype(object).itertuples(index=False, name=None))
-    assert list(map(str, rows(got))) == list(map(str, rows(want)))
+    assert plain(got) == plain(want)
+
+
+def plain(frame) -> list[str]:
+    return sorted(str([None if pd.isna(v) else int(v) if isinstance(v, float) else v for v in r]) for r in frame.astype(object).itertuples(index=False, name=None))
 
 # -- exact dedup ---------------------------------------------------------------------------
 
@@ -64,3 +69,76 @@ def test_exact_odd_rows(spark, messy, nothing):
     assert exact.exact_classes(nothing).count() == 0
     named = spark.createDataFrame([("b", "t"), ("a", "t"), (None, "t")], "doc_id string, text string")
     assert {r.keep_id for r in exact.exact_classes(named).collect()} == {"a"}
+
+
+# -- ordered funnels -------------------------------------------------------------------------
+
+
+def attempts_by_hand(rows: list[tuple]) -> dict:
+    """(funnel, client): [times of step 1, 2, 3, 4], attempt by attempt."""
+    seen = {(c, k, t) for c, k, t in rows if None not in (c, k, t)}
+    out = {}
+    for f in funnels.FUNNELS:
+        for c, k, t in seen:
+            if k != f.steps[0]:
+                continue
+            mine = out.setdefault((f.name, c), [[], [], [], []])
+            mine[0].append(0)
+            now = t
+            for i, kind in enumerate(f.steps[1:], 1):
+                later = [x for c2, k2, x in seen if c2 == c and k2 == kind and x > now]
+                if not later or min(later) - t > timedelta(minutes=30):
+                    break
+                if any(c2 == c and k2 == f.excluded and now < x <= min(later) for c2, k2, x in seen):
+                    break
+                mine[i].append(int((min(later) - now) / timedelta(microseconds=1)))
+                now = min(later)
+    return out
+
+
+@pytest.mark.parametrize(("width", "chunk"), [(funnels.WIDTH, funnels.CHUNK), (7 * 60 * 1_000_000, 40), (funnels.HORIZON, 10**9)])
+def test_funnels_equal_attempts_by_hand(spark, width, chunk):
+    rng = random.Random(width)
+    kinds = ["view"] * 6 + ["click"] * 6 + ["purchase"] * 4 + ["signup", "error", "other", None]
+    begin = datetime(1969, 12, 31, 20)  # buckets before and after zero
+    rows = []
+    for _ in range(900):
+        client = rng.choice([1, 1, 1, 2, 3, None])
+        rows.append((client, rng.choice(kinds), begin + timedelta(seconds=rng.randrange(0, 8 * 3600, 20), microseconds=rng.choice([0, 1]))))
+    at = datetime(1970, 1, 1, 12)  # exactly on the horizon; ties; an excluded row at the time of the next step, and of the first
+    rows += [(9, "view", at), (9, "click", at + timedelta(minutes=10)), (9, "view", at + timedelta(minutes=30)), (9, "purchase", at + timedelta(minutes=30, microseconds=1))]
+    rows += [(10, "view", at), (10, "error", at), (10, "click", at), (10, "click", at + timedelta(seconds=1)), (10, "view", at + timedelta(seconds=2)), (10, "error", at + timedelta(seconds=2))]
+    rows += [(None, "view", at), (11, None, at), (11, "view", None), (12, "purchase", at)] + rows[:50]
+    want = attempts_by_hand(rows)
+    df = spark.createDataFrame([(1, *r, "x", 0) for r in rows], "home int, client_id long, kind string, arrived_at timestamp_ntz, bucket string, chunk int")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        got = funnels.funnel_counts(df, width=width, chunk=chunk).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    deep = {k: max(i for i, x in enumerate(v, 1) if x) for k, v in want.items()}
+    alike = collections.Counter((k[0], d) for k, d in deep.items())
+    assert len(got) == len(want) > 5
+    for r in got:
+        key = r.funnel, r.client_id
+        assert [r.n1, r.n2, r.n3, r.n4] == [len(x) for x in want[key]]
+        assert [r.t2, r.t3, r.t4] == [sorted(x)[-(-90 * len(x) // 100) - 1] if x else None for x in want[key][1:]]
+        assert r.deepest == deep[key]
+        assert r.same_depth == alike[r.funnel, r.deepest]
+
+
+def test_step_times_are_ranked_in_two_steps(spark):
+    rng = random.Random(5)
+    rows = [("A", rng.choice([1, 2]), 2, rng.choice([rng.randrange(1 << 20), 7, 1 << 15]), rng.randint(1, 3)) for _ in range(500)]
+    times = spark.createDataFrame(rows, "funnel string, client long, step int, dt long, n long").groupBy("funnel", "client", "step", "dt").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
+    for r in funnels._ranked(times, ["funnel", "client", "step"], 90).collect():
+        every = sorted(dt for _, c, _, dt, n in rows if c == r.client for _ in range(n))
+        assert r.t == every[-(-90 * len(every) // 100) - 1]
+
+
+def test_funnels_of_nothing(spark):
+    empty = spark.createDataFrame([], "client_id long, kind string, arrived_at timestamp_ntz, n1 long")
+    assert funnels.funnel_counts(empty).count() == 0
+    odd = spark.createDataFrame([(None, None, None), ("a", "view", datetime(2024, 1, 1))], "client_id string, kind string, arrived_at timestamp")
+    assert [(r.funnel, r.client_id, r.n1, r.deepest) for r in funnels.funnel_counts(odd).collect()] == [("A", "a", 1, 1)]
