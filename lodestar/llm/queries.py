@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import exact, fingerprints, funnels, jaccard, licenses, lm, packing, pieces, quality, substrings, tokens, toxicity
+from lodestar.llm import exact, fingerprints, funnels, jaccard, licenses, lm, packing, pieces, quality, substrings, tokens, toxicity, variants
 from lodestar.llm.common import crc_remainder, documents
 
 
@@ -69,12 +69,16 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_classes(documents(spark, sf_dir))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(documents(spark, sf_dir))
+
+
 def op13_funnel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnels.funnel_counts(spark.read.parquet(f"{sf_dir}/clicks.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_license_scan, op2_document_fingerprints, op3_lm_scoring, op4_substring_dedup, op5_token_counts, op6_sentencepiece, op7_ngram_jaccard_join, op8_toxicity, op9_quality_rules, op10_best_fit_packing, op11_exact_dedup, op13_funnel_counts]
+    own = [op1_license_scan, op2_document_fingerprints, op3_lm_scoring, op4_substring_dedup, op5_token_counts, op6_sentencepiece, op7_ngram_jaccard_join, op8_toxicity, op9_quality_rules, op10_best_fit_packing, op11_exact_dedup, op12_spelling_variants, op13_funnel_counts]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 

@@ -6,13 +6,14 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 from datetime import datetime, timedelta
 
 import duckdb
 import pandas as pd
 import pytest
 
-from lodestar.llm import exact, funnels, queries
+from lodestar.llm import exact, funnels, queries, variants
 
 
 @pytest.mark.parametrize("name", sorted(set(queries.oracle_sql()) - {"op7_ngram_jaccard_join"}))
@@ -142,3 +143,92 @@ def test_funnels_of_nothing(spark):
     assert funnels.funnel_counts(empty).count() == 0
     odd = spark.createDataFrame([(None, None, None), ("a", "view", datetime(2024, 1, 1))], "client_id string, kind string, arrived_at timestamp")
     assert [(r.funnel, r.client_id, r.n1, r.deepest) for r in funnels.funnel_counts(odd).collect()] == [("A", "a", 1, 1)]
+
+
+# -- spelling variants -----------------------------------------------------------------------
+
+
+def words_by_hand(rows: list[tuple]) -> dict[str, int]:
+    out = collections.Counter()
+    for doc_id, text in rows:
+        for run in re.findall(r"[A-Za-zÀ-ÿ]+", text or ""):
+            w = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{w}".encode())
+            if h % 199 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            out[w] += 1
+    return {w: n for w, n in out.items() if len(w) >= 6 and n >= 5}
+
+
+def one_edit(a: str, b: str) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def variants_by_hand(n: dict[str, int]) -> list[tuple]:
+    form, near = {}, {}
+    for w in n:
+        mine = [u for u in n if one_edit(u, w)]
+        near[w] = len(mine)
+        best = min(mine, key=lambda u: (-n[u], u), default=None)
+        form[w] = best if best is not None and n[best] >= 5 * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n[w], near[w], n[form[w]] if form[w] else None))
+    return sorted(out)
+
+
+def spoiled(rng: random.Random, w: str) -> str:
+    i, c = rng.randrange(len(w)), rng.choice("abé")
+    return rng.choice([w[:i] + w[i + 1 :], w[:i] + c + w[i + 1 :], w[:i] + c + w[i:], w])
+
+
+def test_letter_runs_and_crc():
+    rng = random.Random(1)
+    texts = ["", "ÀÿZz-a×÷bĀc日", "x" * 200 + "é" * 30, *("".join(rng.choices("abcXYZ é.-Ü\n", k=300)) for _ in range(20))]
+    from lodestar.llm import kernel
+
+    letters, at, text = variants.letter_runs(*kernel.joined([t.encode() for t in texts]))
+    got = [(int(i), bytes(letters[a:b]).decode()) for i, a, b in zip(text, at, at[1:], strict=False)]
+    want = [(i, "".join(c.lower() if "A" <= c <= "Z" else c for c in r)) for i, t in enumerate(texts) for r in re.findall(r"[A-Za-zÀ-ÿ]+", t)]
+    assert got == want
+    begin = [zlib.crc32(f"{i}:".encode()) for i in range(len(texts))]
+    crc = variants.crc32s(letters, at, variants.np.array(begin, variants.np.uint32)[text])
+    assert crc.tolist() == [zlib.crc32(f"{i}:{w}".encode()) for i, w in want]
+
+
+@pytest.mark.parametrize(("hot", "cold"), [(variants.HOT, variants.COLD), (40, 30)])
+def test_variants_equal_all_pairs(spark, hot, cold):
+    rng = random.Random(hot)
+    base = ["".join(rng.choices("aabé", k=rng.randint(5, 9))) for _ in range(60)] + ["aaaaaa", "aaaaaaa", "aaaaaaaa", "ababab", "bababab", "q" * 300, "q" * 301]
+    said = []
+    for w in base:
+        said += [w] * rng.choice([1, 5, 6, 30, 200])
+        for _ in range(6):
+            said += [spoiled(rng, spoiled(rng, w))] * rng.choice([2, 5, 7, 40])
+    rng.shuffle(said)
+    rows = [(i, " ".join(said[i::120])) for i in range(120)] + [(None, "Aaaaaa AAAAAA aaaaaa"), (3, None), (4, ""), (4, "")]
+    got = variants.spelling_variants(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), hot=hot, cold=cold)
+    got = sorted((r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in got.collect())
+    want = variants_by_hand(words_by_hand(rows))
+    assert got == want
+    assert len({r[2] for r in got}) < len(got) > 100
+    assert any(r[1] and r[1] != r[2] for r in got)  # a chain of forms
+
+
+def test_variants_of_given_texts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = sorted((r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in queries.op12_spelling_variants(spark, sf).collect())
+    assert got == variants_by_hand(words_by_hand([(r.doc_id, r.text) for r in docs.collect()]))
+
+
+def test_variants_odd_rows(spark, messy, nothing):
+    got = sorted((r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in variants.spelling_variants(messy).collect())
+    assert got == variants_by_hand(words_by_hand([(r.doc_id, r.text) for r in messy.collect()]))
+    assert variants.spelling_variants(nothing).count() == 0
