@@ -49,7 +49,7 @@ def evaluate_collection(spark, a) -> None:
 def mine(spark, a) -> None:
     corpus, queries, qrels = readers.read_corpus(spark, a.corpus), readers.read_queries(spark, a.queries), readers.read_qrels(spark, a.qrels)
     asked = queries.join(qrels.select("qid").distinct(), "qid", "left_semi")
-    best = negatives.mined(lexical.scores(lexical.build(corpus, "did", "text"), asked, "qid", "text"), qrels, a.n)
+    best = negatives.mined_from(lexical.build(corpus, "did", "text"), asked, "qid", "text", qrels, a.n)
     fill = negatives.hashed(asked.select("qid"), corpus.select("did"), qrels, a.random, a.seed)
     chosen = negatives.mixed(best, fill, a.n, a.random).join(corpus, "did").groupBy("qid").agg(F.collect_list("text").alias("negatives"))
     sinks.write_jsonl(readers.first_positive(asked, qrels, corpus).join(chosen, "qid", "left"), a.output)

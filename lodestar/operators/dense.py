@@ -1,51 +1,16 @@
-"""Exact vector search in blocks.
+"""Exact vector search.
 
-Queries and rows are packed into blocks of vectors; each pair of blocks is one matrix product that
-sends on at most k rows per query, and a window over those gives the result. A product of blocks is the
-only product there is: no pair of rows leaves a task.
+Rows are put into lists around centres (`clusters`), queries visit their own list first and then those whose bound
+reaches their k-th score so far; a visit is a matrix product of packed blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from lodestar.operators.lexical import top_k
-
-BLOCK = 4096
-
-
-def _packed(df: DataFrame, block: int, prefix: str) -> DataFrame:
-    """(vec_id, vec) rows as rows of up to `block` vectors."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[np.ndarray] = []
-        vecs: list[np.ndarray] = []
-        width = 0
+from lodestar.operators import clusters
 
-        def out() -> pa.RecordBatch:
-            i, v = np.concatenate(ids), np.concatenate(vecs)
-            return pa.RecordBatch.from_arrays([pa.array([i.astype("<i8").tobytes()]), pa.array([v.astype("<f8").tobytes()]), pa.array([width], pa.int32())], [f"{prefix}_ids", f"{prefix}_vecs", f"{prefix}_dim"])
-
-        for b in batches:
-            for lo in range(0, b.num_rows, block):
-                part = b.slice(lo, block)
-                lists = part.column(1)
-                width = len(lists[0])
-                flat = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-                if ids and sum(map(len, ids)) + len(flat) > block:
-                    yield out()
-                    ids, vecs = [], []
-                ids.append(part.column(0).to_numpy(zero_copy_only=False))
-                vecs.append(flat)
-        if ids:
-            yield out()
-
-    return df.mapInArrow(run, f"{prefix}_ids binary, {prefix}_vecs binary, {prefix}_dim int")
+BLOCK = clusters.BLOCK
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int, metric: str = "ip", skip_self: bool = True, block: int = BLOCK) -> DataFrame:
@@ -54,26 +19,6 @@ def search(rows: DataFrame, queries: DataFrame, k: int, metric: str = "ip", skip
     metric: ip (inner product) or l2 (squared distance, least first, score negated). Scores are rounded to 6 places
     before they are ranked, ties go by id.
     """
-    if metric not in ("ip", "l2"):
+    if metric not in clusters.METRICS:
         raise ValueError(f"unknown metric {metric}")
-    q, d = (_packed(x.where("vec is not null and size(vec) > 0").select(F.col("vec_id").cast("long"), F.col("vec").cast("array<double>")), block, p) for x, p in ((queries, "q"), (rows, "d")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                qi, di = (np.frombuffer(r[f"{p}_ids"], "<i8") for p in "qd")
-                qv, dv = (np.frombuffer(r[f"{p}_vecs"], "<f8").reshape(-1, r[f"{p}_dim"]) for p in "qd")
-                s = qv @ dv.T
-                if metric == "l2":
-                    s = -((qv * qv).sum(1)[:, None] - 2 * s + (dv * dv).sum(1)[None, :])
-                s = np.round(s, 6) + 0.0
-                if skip_self:
-                    s[qi[:, None] == di[None, :]] = -np.inf
-                n = min(k, len(di))
-                by_id = np.argsort(di, kind="stable")
-                best = by_id[np.argsort(-s[:, by_id], axis=1, kind="stable")[:, :n]]
-                got = np.take_along_axis(s, best, 1)
-                ok = np.isfinite(got).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, n)[ok]), pa.array(di[best].ravel()[ok]), pa.array(got.ravel()[ok])], ["qid", "did", "score"])
-
-    return top_k(q.crossJoin(d).mapInArrow(run, "qid long, did long, score double"), k)
+    return clusters.search(clusters.build(rows, block=block), queries, k, metric, skip_self)

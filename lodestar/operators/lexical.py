@@ -1,69 +1,116 @@
-"""BM25: postings, statistics, top-k search."""
+"""BM25: blocked postings, statistics, top-k search that reads few of them.
+
+A block holds a term's entries for about DOCS documents, which are dealt by a hash of their id, and the greatest weight among
+them; so no row or task holds the whole list of a common term. `search` works in three steps:
+
+* a floor for every query: its rarest terms (of common ones, a few blocks) give partial scores, whose k-th greatest is one;
+* terms that even together stay below the floor can't lift a document alone. The others' blocks are read, unless the greatest
+  weights of a query's terms in a block, with all it can gain from the left-out terms, stay below the floor;
+* only documents that can still reach the floor get the left-out terms' weights, from the blocks that hold them.
+
+All three are equi-joins on (term, block). The result equals scoring every hit (`scores`).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import word_tokens
+from lodestar.sources.sinks import kept
 
 K1, B = 1.5, 0.75
+#: Documents of a block, about; entries that a query's floor is taken from, per wanted row, and terms that are read for it whole.
+DOCS, FIRST = 4096, 50
+#: Terms that together add less than this share of the floor are left for later.
+LATE = 0.5
+#: Scores are rounded to 6 places before they are ranked; bounds give way by more than that.
+SLACK = 1e-5
+#: Most rows of a broadcast side: a query's terms, its floors.
+SMALL = 200_000
 
 
 @dataclass
 class Index:
-    """postings(did, term, tf, dl), terms(term, df, idf) and the corpus statistics. `save` it once and search often."""
+    """blocks(term, block, most, n, entries of (did, tf, dl)), terms(term, df, idf, most) and the corpus statistics. `save` it once and search often."""
 
-    postings: DataFrame
+    blocks: DataFrame
     terms: DataFrame
-    stats: DataFrame  # one row: n, avgdl
+    stats: DataFrame  # one row: n, avgdl, blocks
+
+    @property
+    def postings(self) -> DataFrame:
+        """(did, term, tf, dl)"""
+        return self.blocks.select("term", F.explode("entries").alias("e")).select("e.did", "term", "e.tf", "e.dl")
 
     def save(self, path: str) -> None:
-        self.postings.write.parquet(f"{path}/postings")
-        self.terms.write.parquet(f"{path}/terms")
+        """Texts are read for the statistics and for the blocks; terms come from the written blocks."""
+        spark = self.blocks.sparkSession
         self.stats.write.parquet(f"{path}/stats")
+        self.blocks.write.parquet(f"{path}/blocks")
+        _terms(*(spark.read.parquet(f"{path}/{t}") for t in ("blocks", "stats"))).write.parquet(f"{path}/terms")
 
     @staticmethod
     def load(spark, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")))
+        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("blocks", "terms", "stats")))
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
 
 
-def build(docs: DataFrame, did: str, text: str) -> Index:
-    """Documents without a token have no posting but count in n and avgdl."""
-    tokens = docs.select(F.col(did).alias("did"), word_tokens(F.col(text)).alias("t"))
-    sized = tokens.select("did", "t", F.size("t").cast("long").alias("dl"))
-    postings = sized.select("did", "dl", F.explode("t").alias("term")).groupBy("did", "dl", "term").agg(F.count("*").alias("tf"))
-    stats = sized.agg(F.count("*").alias("n"), F.when(F.sum("dl") > 0, F.avg("dl")).otherwise(F.lit(1.0)).alias("avgdl"))
-    return Index(postings, _terms(postings, stats), stats)
+def _weight(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """A posting's weight without its term's idf."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def _counted(tokens: DataFrame) -> DataFrame:
+    """(did, dl, t) as (did, dl, term, tf): a document's terms are counted where it is, nothing is shuffled."""
+    did = tokens.schema["did"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            t = pa.table({"at": lists.value_parent_indices().cast(pa.int64()), "term": lists.flatten()})
+            t = t.group_by(["at", "term"]).aggregate([([], "count_all")])
+            at = t.column("at").combine_chunks()
+            if isinstance(at, pa.ChunkedArray):
+                at = pa.concat_arrays(at.chunks) if at.num_chunks else pa.array([], pa.int64())
+            out = pa.table({"did": b.column(0).take(at), "dl": b.column(1).take(at), "term": t.column("term"), "tf": t.column("count_all")})
+            yield from out.to_batches(max_chunksize=50_000)
+
+    return tokens.select("did", "dl", "t").mapInArrow(run, f"did {did}, dl long, term string, tf long")
 
 
-def _terms(postings: DataFrame, stats: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
+def build(docs: DataFrame, did: str, text: str, block: int = DOCS) -> Index:
+    """Documents without a token have no posting but count in n and avgdl. Of equal ids each row counts as a document; their weights add up."""
+    tokens = docs.select(F.col(did).alias("did"), word_tokens(F.col(text)).alias("t")).withColumn("dl", F.size("t").cast("long"))
+    counts = tokens.agg(F.count("*").alias("n"), F.when(F.sum("dl") > 0, F.avg("dl")).otherwise(F.lit(1.0)).alias("avgdl"))
+    n, avgdl = counts.first()
+    ways = max(1, -(-n // block))
+    stats = docs.sparkSession.createDataFrame([(n, avgdl, ways)], "n long, avgdl double, blocks long")
+    rows = _counted(tokens).withColumn("block", F.pmod(F.xxhash64("did"), F.lit(ways)).cast("int"))
+    grouped = rows.groupBy("term", "block").agg(F.collect_list(F.struct("did", "tf", "dl")).alias("entries"), F.max(_weight(F.col("tf"), F.col("dl"), F.lit(avgdl))).alias("one"), F.sum(_weight(F.col("tf"), F.col("dl"), F.lit(avgdl))).alias("all"))
+    ids = F.transform("entries", lambda e: e["did"])
+    most = F.when(F.size(F.array_distinct(ids)) == F.size(ids), F.col("one")).otherwise(F.col("all"))
+    blocks = grouped.select("term", "block", most.alias("most"), F.size("entries").cast("long").alias("n"), "entries")
+    return Index(blocks, _terms(blocks, stats), stats)
 
 
-def stored(docs: DataFrame, did: str, text: str, path: str) -> Index:
-    """An index written to `path` and read from it: texts are read for the postings and for the statistics, never again; terms come from the stored postings."""
-    spark = docs.sparkSession
-    built = build(docs, did, text)
-    built.postings.write.parquet(f"{path}/postings")
-    built.stats.write.parquet(f"{path}/stats")
-    postings, stats = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "stats"))
-    _terms(postings, stats).write.parquet(f"{path}/terms")
-    return Index.load(spark, path)
+def _terms(blocks: DataFrame, stats: DataFrame) -> DataFrame:
+    per = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("most").alias("most"))
+    return per.crossJoin(F.broadcast(stats)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"), "most")  # stats: one row
 
 
 def scores(index: Index, queries: DataFrame, qid: str, text: str) -> DataFrame:
     """(qid, did, score) of all documents that share a term with the query. Each distinct query term counts once."""
     asked = queries.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(word_tokens(F.col(text)))).alias("term"))
-    stats = F.broadcast(index.stats)  # one row
-    hits = index.postings.join(asked, "term").join(index.terms, "term").crossJoin(stats)
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    hits = index.postings.join(asked, "term").join(index.terms, "term").crossJoin(F.broadcast(index.stats))  # stats: one row
+    weight = F.col("idf") * _weight(F.col("tf"), F.col("dl"), F.col("avgdl"))
     return hits.groupBy("qid", "did").agg(F.round(F.sum(weight), 6).alias("score"))
 
 
@@ -73,5 +120,61 @@ def top_k(scored: DataFrame, k: int, group: str = "qid", item: str = "did", scor
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(index: Index, queries: DataFrame, qid: str, text: str, k: int) -> DataFrame:
-    return top_k(scores(index, queries, qid, text), k)
+def _small(df: DataFrame) -> DataFrame:
+    """df to be broadcast if it has few rows, else as it is."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
+def _entries(index: Index, wanted: DataFrame, avgdl: float) -> DataFrame:
+    """(qid, block, did, s): an entry's weight times idf, for wanted (qid, term, idf, block) and, if it has `only`, those documents alone."""
+    wanted = kept(wanted)
+    hits = index.blocks.select("term", "block", "entries").join(_small(wanted), ["term", "block"])
+    entries = F.filter("entries", lambda e: F.array_contains("only", e["did"])) if "only" in wanted.columns else F.col("entries")
+    hits = hits.select("qid", "block", "idf", F.explode(entries).alias("e"))
+    return hits.select("qid", "block", "e.did", (F.col("idf") * _weight(F.col("e.tf"), F.col("e.dl"), F.lit(avgdl))).alias("s"))
+
+
+def asked_terms(index: Index, queries: DataFrame, qid: str, text: str) -> DataFrame:
+    """(qid, term, idf, df, up): the distinct terms of each query that some document has; up = the most one can add to a score."""
+    rows = queries.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(word_tokens(F.col(text)))).alias("term")).distinct()
+    return index.terms.join(_small(rows), "term").select("qid", "term", "idf", "df", (F.col("idf") * F.col("most")).alias("up"))
+
+
+def floors(index: Index, asked: DataFrame, k: int, avgdl: float, ways: int, without: DataFrame | None = None) -> DataFrame:
+    """(qid, least): k documents of the query score so much at least; no row for a query with fewer."""
+    upto = Window.partitionBy("qid").orderBy("df", "term")
+    rare = asked.withColumn("before", F.sum("df").over(upto) - F.col("df")).where(F.col("before") < FIRST * k)
+    # of a common term so many blocks as hold about FIRST * k entries: any part of a score is less than all of it
+    some = F.least(F.lit(ways), F.ceil(F.lit(2.0 * FIRST * k * ways) / F.col("df")))
+    wanted = rare.select("qid", "term", "idf", F.explode(F.sequence(F.lit(0), (some - 1).cast("int"))).alias("block"))
+    part = _entries(index, wanted, avgdl).groupBy("qid", "did").agg(F.sum("s").alias("score"))
+    if without is not None:
+        part = part.join(without, ["qid", "did"], "left_anti")
+    return top_k(part, k).where(F.col("rank") == k).select("qid", (F.col("score") - SLACK).alias("least"))
+
+
+def search(index: Index, queries: DataFrame, qid: str, text: str, k: int, without: DataFrame | None = None) -> DataFrame:
+    """(qid, did, score, rank) of the k best documents with a term of the query; pairs (qid, did) of `without` are left out before ranking."""
+    _, avgdl, ways = index.stats.select("n", "avgdl", "blocks").first()
+    without = None if without is None else without.select("qid", "did").distinct()
+    asked = kept(asked_terms(index, queries, qid, text))
+    least = kept(floors(index, asked, k, avgdl, ways, without))
+    # terms by what they can add: a tail that stays well below the floor as a whole is left for later
+    tail = F.sum("up").over(Window.partitionBy("qid").orderBy("up", F.desc("term")))
+    parted = asked.join(_small(least), "qid", "left").withColumn("least", F.coalesce("least", F.lit(-1.0))).withColumn("late", tail < LATE * F.col("least"))
+    parted = kept(parted)
+    late = parted.groupBy("qid").agg(F.coalesce(F.sum(F.when(F.col("late"), F.col("up"))), F.lit(0.0)).alias("rest"), F.first("least").alias("least"))
+    peaks = index.blocks.select("term", "block", "most").join(_small(parted.where(~F.col("late")).select("qid", "term", "idf")), "term")
+    peaks = peaks.withColumn("peak", F.sum(F.col("idf") * F.col("most")).over(Window.partitionBy("qid", "block")))
+    wanted = peaks.join(_small(late), "qid").where(F.col("peak") + F.col("rest") >= F.col("least")).select("qid", "term", "idf", "block")
+    part = _entries(index, wanted, avgdl).groupBy("qid", "block", "did").agg(F.sum("s").alias("s"))
+    if without is not None:
+        part = part.join(without, ["qid", "did"], "left_anti")
+    part = kept(part.join(_small(late), "qid").where(F.col("s") + F.col("rest") >= F.col("least")))
+    # the floor again, from all early terms: few documents can still be among the best
+    again = top_k(part, k, score="s").where(F.col("rank") == k).select("qid", (F.col("s") - SLACK).alias("floor"))
+    may = kept(part.join(_small(again), "qid", "left").where(F.col("floor").isNull() | (F.col("s") + F.col("rest") >= F.col("floor"))).select("qid", "block", "did", "s"))
+    places = may.groupBy("qid", "block").agg(F.collect_set("did").alias("only"))
+    more = _entries(index, places.join(parted.where("late").select("qid", "term", "idf"), "qid"), avgdl)
+    both = may.select("qid", "did", "s").union(more.select("qid", "did", "s"))
+    return top_k(both.groupBy("qid", "did").agg(F.round(F.sum("s"), 6).alias("score")), k)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import hash_order
-from lodestar.operators.lexical import top_k
+from lodestar.operators.lexical import Index, search, top_k
 from lodestar.operators.mixing import ranked_within
 
 
@@ -27,6 +27,11 @@ def mined(scored: DataFrame, qrels: DataFrame, n: int) -> DataFrame:
     return top_k(scored.join(qrels.select("qid", "did").distinct(), ["qid", "did"], "left_anti"), n).select("qid", "did", "rank")
 
 
+def mined_from(index: Index, queries: DataFrame, qid: str, text: str, qrels: DataFrame, n: int) -> DataFrame:
+    """As `mined`, by a search that reads only the blocks that can hold one of the n best."""
+    return search(index, queries, qid, text, n, without=qrels).select("qid", "did", "rank")
+
+
 def hashed(queries: DataFrame, corpus: DataFrame, excluded: DataFrame, n: int, seed: str = "neg", spread: int = 64) -> DataFrame:
     """(qid, did, rank): n documents per query in an order that depends on the seed, without those excluded (qid, did).
 

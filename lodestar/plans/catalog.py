@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
 from lodestar.functions import vector as V
-from lodestar.operators import align, answers, batch_eval, dense, lexical, mixing, models, negatives, ranking, report
-from lodestar.sources.sinks import scratch
+from lodestar.operators import align, answers, batch_eval, clusters, dense, grams, lexical, mixing, models, negatives, ranking, report
+from lodestar.plans import shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,38 +60,15 @@ _QRELS = "qrels AS (SELECT b.item_id AS qid, d.doc_id AS did FROM benchmark b JO
 _HEAD = r"SELECT doc_id AS qid, array_to_string(list_filter(string_split_regex(text, '[\s\x0B]+'), lambda x: x <> '')[4:9], ' ') AS qt FROM documents WHERE doc_id % 20 = 0"
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
-
-
 def index(spark: SparkSession, sf_dir: str) -> lexical.Index:
-    """The documents' index, written once a session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES:
-        _INDEXES[key] = scratch(spark)
-        return lexical.stored(_table(spark, sf_dir, "documents"), "doc_id", "text", _INDEXES[key])
-    return lexical.Index.load(spark, _INDEXES[key])
+    """The documents' index, written once a session and state of the table."""
+    return shared.bm25(spark, sf_dir)
 
 
 def contains_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, did): the document contains the item's text, in any case.
-
-    Candidates come from the item's rarest word, so items and documents meet in an equi-join; an item without a word
-    is in every document and is compared to all.
-    """
-    docs, items = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").where("text is not null")
-    built = index(spark, sf_dir)
-    terms = items.select("item_id", F.explode(F.array_distinct(_inner_words(F.col("text")))).alias("term"))
-    rare = terms.join(built.terms, "term").groupBy("item_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    hits = built.postings.select("did", "term").join(rare, "term").select("item_id", F.col("did").alias("doc_id"))
-    wordless = items.where(F.size(_inner_words(F.col("text"))) == 0).select("item_id").crossJoin(docs.select("doc_id"))
-    both = hits.union(wordless).join(items.withColumnRenamed("text", "item"), "item_id").join(docs, "doc_id")
-    return both.where(F.contains(F.lower("text"), F.lower("item"))).select(F.col("item_id").alias("qid"), F.col("doc_id").alias("did"))
-
-
-def _inner_words(c):
-    """Words that must stand whole in a text that contains c: all but the first and the last, which may be parts of longer ones."""
-    t = T.word_tokens(c)
-    return F.slice(t, 2, F.greatest(F.size(t) - 2, F.lit(0)))
+    """(qid, did): the document contains the item's text, in any case."""
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return grams.containing(shared.gram_index(spark, sf_dir), docs, "doc_id", "text", items, "item_id", "text").withColumnRenamed("item", "qid")
 
 
 @query(f"WITH {_bm25_sql(_ITEMS)} SELECT qid, did, score, rank FROM run WHERE rank <= 10")
@@ -246,6 +223,14 @@ def dense_ip_topk(spark, sf_dir):
     return _dense(spark, sf_dir, 10, "ip").select("qid", "did", "score", "rank")
 
 
+@query(_dense_sql("list_dot_product(a.e, b.e)", 10) + " SELECT qid, did, score, rank FROM deep")
+def ivf_topk(spark, sf_dir):
+    """The inverted file with every list probed is exact."""
+    lists = shared.vector_lists(spark, sf_dir)
+    asked = _vectors(spark, sf_dir).where("vec_id % 20 = 0")
+    return clusters.probe(lists, asked, 10, len(lists.centres)).select("qid", "did", "score", "rank")
+
+
 @query(_dense_sql(f"-{_L2}", 10) + " SELECT qid, did, score + 0.0 AS score, rank FROM deep")
 def dense_l2_topk(spark, sf_dir):
     return _dense(spark, sf_dir, 10, "l2").select("qid", "did", "score", "rank")
@@ -487,8 +472,7 @@ def binary_f1(spark, sf_dir):
 
 @query(f"WITH {_bm25_sql(_ITEMS)}, {_QRELS}, n AS (SELECT qid, did, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did) AS rank FROM sc WHERE (qid, did) NOT IN (SELECT qid, did FROM qrels)) SELECT * FROM n WHERE rank <= 5")
 def bm25_negatives(spark, sf_dir):
-    scored = lexical.scores(index(spark, sf_dir), _table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return negatives.mined(scored, contains_qrels(spark, sf_dir), 5)
+    return negatives.mined_from(index(spark, sf_dir), _table(spark, sf_dir, "benchmark"), "item_id", "text", contains_qrels(spark, sf_dir), 5)
 
 
 @query(_dense_sql("list_dot_product(a.e, b.e)", 5) + " SELECT qid, array_to_string(list(did ORDER BY rank), ',') AS negatives FROM deep GROUP BY 1")

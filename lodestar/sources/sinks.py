@@ -23,6 +23,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{(at or tempfile.mkdtemp(prefix='lodestar-')).rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written to a new scratch folder and read again: what follows starts from files."""
+    at = scratch(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 
