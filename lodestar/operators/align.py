@@ -37,20 +37,59 @@ def smart_n(scored: DataFrame, key: str) -> DataFrame:
     return prec.join(rec, key).select(key, "precision", "recall", F.when(total > 0, 2 * F.col("precision") * F.col("recall") / total).otherwise(0.0).alias("f1"))
 
 
+def soft_lcs(m: np.ndarray, shared: bool = False) -> np.ndarray:
+    """Soft longest common subsequences of many pairs at once; m: [pairs, premises, hypotheses] scores.
+
+    L[i, j] = max(L[i-1, j-1] + m, L[i-1, j] + m, L[i, j-1]), one anti-diagonal of all pairs at a time. `shared`: all rows are one,
+    so L[i-1, j-1] is what was written last (the published scores come from such a table).
+    """
+    n, rows, cols = m.shape
+    best = np.zeros((n, rows + 1, cols + 1))
+    for d in range(2, rows + cols + 1):
+        i = np.arange(max(1, d - cols), min(rows, d - 1) + 1)
+        j = d - i
+        s = m[:, i - 1, j - 1]
+        corner = best[:, i, j - 1] if shared else best[:, i - 1, j - 1]
+        best[:, i, j] = np.maximum(np.maximum(corner, best[:, i - 1, j]) + s, best[:, i, j - 1])
+    return best[:, -1, -1]
+
+
+def in_order(m: np.ndarray) -> np.ndarray:
+    """The best total of matches in order, each sentence once; m: [pairs, premises, hypotheses]."""
+    best = np.zeros((len(m), m.shape[1] + 1))
+    for j in range(m.shape[2]):
+        one = np.maximum(best[:, 1:], best[:, :-1] + m[:, :, j])
+        best[:, 1:] = np.maximum.accumulate(one, axis=1)
+    return best[:, -1]
+
+
 def smart_l(scored: DataFrame, key: str) -> DataFrame:
-    """Soft longest common subsequence of sentences: (key, precision, recall, f1), one matrix per key."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        m = g.pivot_table(index="h", columns="p", values="score", aggfunc="max").sort_index().sort_index(axis=1).fillna(0).to_numpy()
-        best = np.zeros((m.shape[0] + 1, m.shape[1] + 1))
-        for i in range(m.shape[0]):
-            row = np.maximum(best[i, 1:], best[i, :-1] + m[i])
-            best[i + 1, 1:] = np.maximum.accumulate(row)
-        total = best[-1, -1]
-        p, r = total / m.shape[0], total / m.shape[1]
-        return pd.DataFrame({key: [g[key].iloc[0]], "precision": [p], "recall": [r], "f1": [2 * p * r / (p + r) if p + r else 0.0]})
-
-    return scored.groupBy(key).applyInPandas(run, f"{key} {scored.schema[key].dataType.simpleString()}, precision double, recall double, f1 double")
+    """Sentences matched in order (R20); scored: (key, h, p, score), a missing pair scores 0.
+
+    (key, precision, recall, f1) of the matches in order with each sentence once, `soft` = soft_lcs / premises, and `soft_shared`,
+    the same with one row for all. A key is one row with its matrix; rows are sorted by the matrix's size, and pairs of
+    equal size are computed together.
+    """
+    cell = F.struct("p", "h", F.coalesce("score", F.lit(0.0)).alias("score"))
+    cells = scored.groupBy(key, "p", "h").agg(F.max("score").alias("score")).groupBy(key).agg(F.collect_list(cell).alias("m"), F.countDistinct("p").alias("rows"), F.countDistinct("h").alias("cols"))
+    of = f"{key} {scored.schema[key].dataType.simpleString()}, precision double, recall double, f1 double, soft double, soft_shared double"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for (rows, cols), g in f.groupby(["rows", "cols"]):
+                step = max(1, (1 << 22) // ((rows + 1) * (cols + 1)))
+                for lo in range(0, len(g), step):
+                    part = g.iloc[lo : lo + step]
+                    m = np.zeros((len(part), rows, cols))
+                    for n, cells_ in enumerate(part["m"]):
+                        p, h, s = (np.array([c[k] for c in cells_]) for k in ("p", "h", "score"))
+                        m[n, np.unique(p, return_inverse=True)[1], np.unique(h, return_inverse=True)[1]] = s
+                    total = in_order(m)
+                    p, r = total / cols, total / rows
+                    f1 = np.where(p + r > 0, 2 * p * r / np.where(p + r > 0, p + r, 1), 0.0)
+                    yield pd.DataFrame({key: part[key].to_numpy(), "precision": p, "recall": r, "f1": f1, "soft": soft_lcs(m) / rows, "soft_shared": soft_lcs(m, True) / rows})
+
+    return cells.sortWithinPartitions("rows", "cols").mapInPandas(run, of)
 
 
 def scored_by(pairs_: DataFrame, score: Callable[[list[str], list[str]], list[float]]) -> DataFrame:

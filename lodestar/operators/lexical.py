@@ -40,7 +40,7 @@ class Index:
 
     blocks: DataFrame
     terms: DataFrame
-    stats: DataFrame  # one row: n, avgdl, blocks
+    stats: DataFrame  # one row: n, avgdl
 
     @property
     def postings(self) -> DataFrame:
@@ -92,7 +92,7 @@ def build(docs: DataFrame, did: str, text: str, block: int = DOCS) -> Index:
     counts = tokens.agg(F.count("*").alias("n"), F.when(F.sum("dl") > 0, F.avg("dl")).otherwise(F.lit(1.0)).alias("avgdl"))
     n, avgdl = counts.first()
     ways = max(1, -(-n // block))
-    stats = docs.sparkSession.createDataFrame([(n, avgdl, ways)], "n long, avgdl double, blocks long")
+    stats = docs.sparkSession.createDataFrame([(n, avgdl)], "n long, avgdl double")
     rows = _counted(tokens).withColumn("block", F.pmod(F.xxhash64("did"), F.lit(ways)).cast("int"))
     grouped = rows.groupBy("term", "block").agg(F.collect_list(F.struct("did", "tf", "dl")).alias("entries"), F.max(_weight(F.col("tf"), F.col("dl"), F.lit(avgdl))).alias("one"), F.sum(_weight(F.col("tf"), F.col("dl"), F.lit(avgdl))).alias("all"))
     ids = F.transform("entries", lambda e: e["did"])
@@ -155,7 +155,8 @@ def floors(index: Index, asked: DataFrame, k: int, avgdl: float, ways: int, with
 
 def search(index: Index, queries: DataFrame, qid: str, text: str, k: int, without: DataFrame | None = None) -> DataFrame:
     """(qid, did, score, rank) of the k best documents with a term of the query; pairs (qid, did) of `without` are left out before ranking."""
-    _, avgdl, ways = index.stats.select("n", "avgdl", "blocks").first()
+    avgdl = index.stats.first()["avgdl"]
+    ways = (index.blocks.agg(F.max("block")).first()[0] or 0) + 1
     without = None if without is None else without.select("qid", "did").distinct()
     asked = kept(asked_terms(index, queries, qid, text))
     least = kept(floors(index, asked, k, avgdl, ways, without))

@@ -654,9 +654,22 @@ def smart_n(spark, sf_dir):
     return made.select("item_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query()
+@query(
+    _ALIGN.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, z AS (SELECT item_id, max(p) AS np, max(h) AS nh FROM s GROUP BY 1),
+r(item_id, np, nh, i, j, above, here, one, above1, here1) AS (
+  SELECT item_id, np, nh, 1, 1, list_transform(range(0, nh + 1), lambda x: 0::DOUBLE), [0::DOUBLE], list_transform(range(0, nh + 1), lambda x: 0::DOUBLE), list_transform(range(0, nh + 1), lambda x: 0::DOUBLE), [0::DOUBLE] FROM z
+  UNION ALL
+  SELECT item_id, np, nh, CASE WHEN last THEN i + 1 ELSE i END, CASE WHEN last THEN 1 ELSE j + 1 END, CASE WHEN last THEN n ELSE above END, CASE WHEN last THEN [0::DOUBLE] ELSE n END, o, CASE WHEN last THEN n1 ELSE above1 END, CASE WHEN last THEN [0::DOUBLE] ELSE n1 END
+  FROM (SELECT r.*, j = nh AS last, list_append(here, greatest(above[j] + m, above[j + 1] + m, here[j])) AS n, list_append(here1, greatest(above1[j] + m, above1[j + 1], here1[j])) AS n1,
+    list_concat(list_concat(one[1:j], [greatest(one[j] + m, one[j + 1] + m)]), one[j + 2:]) AS o
+    FROM (SELECT r.*, s.score AS m FROM r JOIN s ON s.item_id = r.item_id AND s.p = r.i AND s.h = r.j) r)
+), e AS (SELECT item_id, np, nh, above[nh + 1] AS soft, one[nh + 1] AS shared, above1[nh + 1] AS t FROM r WHERE i = np + 1)
+SELECT item_id, round(t / nh, 6) AS precision, round(t / np, 6) AS recall, round(CASE WHEN t > 0 THEN 2 * (t / nh) * (t / np) / (t / nh + t / np) ELSE 0 END, 6) AS f1, round(soft / np, 6) AS soft, round(shared / np, 6) AS soft_shared FROM e"""
+)
 def smart_l(spark, sf_dir):
-    return align.smart_l(_sentence_pairs(spark, sf_dir), "item_id")
+    made = align.smart_l(_sentence_pairs(spark, sf_dir), "item_id")
+    return made.select("item_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "soft", "soft_shared")])
 
 
 # -- reports -------------------------------------------------------------------------------
