@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
 from lodestar.functions import vector as V
-from lodestar.operators import align, answers, batch_eval, clusters, dense, grams, lexical, mixing, models, negatives, ranking, report
+from lodestar.operators import align, answers, batch_eval, clusters, dense, grams, lexical, mixing, models, multihop, negatives, ranking, report
 from lodestar.plans import shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -620,6 +620,69 @@ def project_linear(spark, sf_dir):
     return made.select("vec_id", F.round(F.element_at("projected", 1), 6).alias("head"))
 
 
+# -- questions with pools of candidates -----------------------------------------------------
+
+_HOP_METHODS = ["bm25", "okapi", "cosine", "projected"]
+
+
+def _pools(spark, sf_dir) -> DataFrame:
+    """Every twentieth document that has a vector asks the 15 documents after it; gold are those with its label."""
+    both = _table(spark, sf_dir, "documents").select("doc_id", "text").join(_vectors(spark, sf_dir), F.col("doc_id") == F.col("vec_id"))
+    half = F.slice("vec", 1, 32)  # a projector that keeps half of the elements
+    asked = both.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), F.col("text").alias("question"), F.col("vec").alias("q_vec"), half.alias("q_half"), F.col("label").alias("q_label"))
+    asked = asked.withColumn("did", F.explode(F.sequence(F.col("qid") + 1, F.col("qid") + 15)))
+    pool = both.select(F.col("doc_id").alias("did"), "text", F.col("vec").alias("d_vec"), half.alias("d_half"), F.col("label").alias("d_label"))
+    return asked.join(pool, "did")
+
+
+def _hop_run(spark, sf_dir) -> DataFrame:
+    scores = multihop.scored(_pools(spark, sf_dir), {"cosine": ("q_vec", "d_vec"), "projected": ("q_half", "d_half")})
+    return multihop.ranked(scores, _HOP_METHODS)
+
+
+def _hop_bm25(name: str, tokens: str, times: str, weight: str) -> str:
+    """CTEs of one lexical retriever with the pool's own counts; `name` holds its score."""
+    return f"""{name}_t AS (SELECT qid, did, {tokens.format("text")} AS t FROM pairs),
+{name}_n AS (SELECT qid, count(*) AS n, CASE WHEN sum(len(t)) > 0 THEN avg(len(t)) ELSE 1 END AS avgdl FROM {name}_t GROUP BY 1),
+{name}_f AS (SELECT qid, did, dl, term, count(*) AS tf FROM (SELECT qid, did, len(t) AS dl, unnest(t) AS term FROM {name}_t) GROUP BY ALL),
+{name}_d AS (SELECT qid, term, n, avgdl, count(*) AS df FROM {name}_f JOIN {name}_n USING (qid) GROUP BY ALL),
+{name}_i AS (SELECT *, {weight} AS idf FROM {name}_d),
+{name}_q AS (SELECT qid, term, {times} AS times FROM (SELECT qid, unnest({tokens.format("question")}) AS term FROM (SELECT qid, any_value(question) AS question FROM pairs GROUP BY 1)) GROUP BY ALL),
+{name} AS (SELECT qid, did, round(sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS s FROM {name}_f JOIN {name}_q USING (qid, term) JOIN {name}_i USING (qid, term) GROUP BY 1, 2)"""
+
+
+_RAW_IDF = "(ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE))"
+_COS = "round(list_dot_product({0}, {1}) / (greatest(sqrt(list_dot_product({0}, {0})), 1e-12) * greatest(sqrt(list_dot_product({1}, {1})), 1e-12)), 6)"
+_HOP = f"""WITH {_VEC}, x AS (SELECT doc_id, text, e, label FROM documents JOIN v ON doc_id = vec_id),
+pairs AS (SELECT q.doc_id AS qid, d.doc_id AS did, coalesce(q.text, '') AS question, d.text, q.e AS qe, d.e AS de, q.label = d.label AS gold FROM x q JOIN x d ON d.doc_id BETWEEN q.doc_id + 1 AND q.doc_id + 15 WHERE q.doc_id % 20 = 0),
+{_hop_bm25("bm25", _TOKENS, "1", "ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))")},
+{_hop_bm25("okapi", _SPACE, "count(*)", f"CASE WHEN {_RAW_IDF} < 0 THEN 0.25::DOUBLE * avg({_RAW_IDF}) OVER (PARTITION BY qid) ELSE {_RAW_IDF} END")},
+c AS (SELECT p.qid, p.did, coalesce(b.s, 0) AS bm25, coalesce(o.s, 0) AS okapi, {_COS.format("qe", "de")} AS cosine, {_COS.format("qe[1:32]", "de[1:32]")} AS projected
+  FROM pairs p LEFT JOIN bm25 b ON p.qid = b.qid AND p.did = b.did LEFT JOIN okapi o ON p.qid = o.qid AND p.did = o.did),
+k AS (SELECT *, {", ".join(f"row_number() OVER (PARTITION BY qid ORDER BY {m} DESC, did) AS r_{m}" for m in _HOP_METHODS)} FROM c),
+u AS (SELECT *, round({" + ".join(f"1 / (60 + r_{m})::DOUBLE" for m in _HOP_METHODS)}, 9) AS fused FROM k),
+w AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, did) AS r_fused FROM u),
+run AS ({" UNION ALL ".join(f"SELECT '{m}' AS method, qid, did, {m} AS score, r_{m} AS rank FROM w" for m in [*_HOP_METHODS, "fused"])})"""
+_HOP_AT = ", ".join([f'round(avg(CASE WHEN "first" <= {k} THEN 1 ELSE 0 END), 6) AS "recall@{k}"' for k in multihop.KS] + [f'round(avg(CASE WHEN "last" <= {k} AND found = n THEN 1 ELSE 0 END), 6) AS "all@{k}"' for k in multihop.KS])
+
+
+@query(_HOP + " SELECT method, qid, did, score, rank FROM run")
+def multihop_ranks(spark, sf_dir):
+    return _hop_run(spark, sf_dir)
+
+
+@query(
+    _HOP
+    + f""", g AS (SELECT qid, did FROM pairs WHERE gold), n AS (SELECT qid, count(*) AS n FROM g GROUP BY 1 HAVING count(*) >= 2),
+h AS (SELECT method, qid, min(rank) AS "first", max(rank) AS "last", count(*) AS found FROM run JOIN g USING (qid, did) GROUP BY 1, 2)
+SELECT method, count(*) AS n_valid, {_HOP_AT}, round(avg(coalesce(1 / "first"::DOUBLE, 0)), 6) AS mrr FROM h JOIN n USING (qid) GROUP BY 1"""
+)
+def multihop_retrievers(spark, sf_dir):
+    """Four retrievers inside each question's pool, and their fusion."""
+    gold = _pools(spark, sf_dir).where("q_label = d_label").select("qid", "did")
+    return multihop.evaluated(_hop_run(spark, sf_dir), gold, [*_HOP_METHODS, "fused"])
+
+
 # -- alignment -----------------------------------------------------------------------------
 
 
