@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import hash_order
+from lodestar.sources.sinks import kept
 
 
-#: Rows of one sorted slice, and how many slices there are at most.
-SLICE, SLICES = 200_000, 2000
+#: Rows of one range of sorted rows, about.
+SLICE = 200_000
 HEX = 4  # digits of a hash that are counted first
+_LOW = (1 << 33) - 1  # the bits of a row's number within its partition
 
 
 def _names(df: DataFrame, *wanted: str) -> list[str]:
@@ -24,48 +26,46 @@ def _names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def _slices(df: DataFrame, keys: list[Column], rows: int | None = None) -> Column:
-    """The number of each row's slice, in the order of `keys`: fixed values, found once, part the rows, so every use of a row gives the same."""
-    order = keys[0]
-    n = df.count()
-    parts = min(SLICES, -(-n // (rows or SLICE)))
-    if parts < 2:
-        return F.lit(0)
-    sample = df.select(order.alias("k")).where("k is not null").sample(min(1.0, 200 * parts / n), seed=1)
-    cuts = [r["k"] for r in sample.withColumn("t", F.ntile(parts).over(Window.orderBy("k"))).groupBy("t").agg(F.max("k").alias("k")).orderBy("t").collect()][:-1]  # SLICES at most
-    return F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < order)), F.lit(0))
+def _placed(df: DataFrame, order: list[Column], part: str, at: str) -> DataFrame:
+    """df sorted in ranges of about SLICE rows by `order`, with each row's range and place in it.
+
+    There are as many ranges as the rows need, found by Spark's own sample. It is written and read again, so a row keeps its place whatever is computed from it. Rows that are equal in `order` are
+    told apart by a hash of their columns, so that many of them are no single partition.
+    """
+    plain = [F.col(f"`{f.name}`") for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
+    keys = [*order, F.xxhash64(*plain)]
+    rows = df.repartitionByRange(max(1, -(-df.count() // SLICE)), *keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id())
+    rows = kept(rows)
+    return rows.withColumn(part, F.shiftright(at, 33)).withColumn(at, F.col(at).bitwiseAND(_LOW))
 
 
 def numbered(df: DataFrame, key: str, out: str = "pos") -> DataFrame:
-    """df with positions 0, 1, ... in the order of `key` (nulls first), without one task that sees every row.
+    """df with positions 0, 1, ... in the order of `key` (nulls first), without one task that sees every row; equal keys in any order.
 
-    The rows are cut into slices at fixed values of the key, so a slice's number depends on nothing but the row; counts per
-    slice give each its first position. Rows with equal keys stand in any order among themselves and have to fit a task.
+    Rows are sorted by ranges; counts per range give each its first position.
     """
-    s_, r_, b_ = _names(df, "slice", "nth", "before")
-    part = F.when(F.col(f"`{key}`").isNull(), F.lit(-1)).otherwise(_slices(df, [F.col(f"`{key}`")])).cast("int")
-    sliced = df.withColumn(s_, part)
-    per = sliced.groupBy(s_).agg(F.count("*").alias("n"))
-    before = per.select(s_, (F.sum("n").over(Window.orderBy(s_)) - F.col("n")).alias(b_))  # a row per slice
-    ranked = sliced.withColumn(r_, F.row_number().over(Window.partitionBy(s_).orderBy(F.col(f"`{key}`"))))
-    return ranked.join(F.broadcast(before), s_).withColumn(out, (F.col(b_) + F.col(r_) - 1).cast("long")).drop(s_, r_, b_)
+    p_, a_, b_ = _names(df, "part", "place", "before")
+    rows = _placed(df, [F.col(f"`{key}`")], p_, a_)
+    per = rows.groupBy(p_).agg(F.count("*").alias("n"))
+    before = per.select(p_, (F.sum("n").over(Window.orderBy(p_)) - F.col("n")).alias(b_))  # a row per range
+    return rows.join(F.broadcast(before), p_).withColumn(out, (F.col(b_) + F.col(a_)).cast("long")).drop(p_, a_, b_)
 
 
 def ranked_within(df: DataFrame, group: str | None, order: list[Column], out: str, total: str | None = None) -> DataFrame:
     """df with the 1-based position of each row in its group (null: all rows) by `order`, and the group's size as `total`, without one task per group.
 
-    `order`'s first column parts all rows into slices; a row's position is the rows of its group in lesser slices and its position in its own.
+    Rows are sorted by ranges of group and order; a large group lies in many partitions, and a row's position is the group's rows in
+    earlier ones and its place among those of its own.
     """
-    g_, s_, r_, b_, t_, j_, k_ = _names(df, "of", "slice", "nth", "before", "size", "j", "k")
-    sliced = df.withColumn(g_, F.lit(0) if group is None else F.col(f"`{group}`")).withColumn(s_, _slices(df, order[:1]))
-    per = sliced.groupBy(g_, s_).agg(F.count("*").alias("n"))
+    g_, p_, a_, f_, b_, t_, j_, k_ = _names(df, "of", "part", "place", "first", "before", "size", "j", "k")
+    rows = _placed(df.withColumn(g_, F.lit(0) if group is None else F.col(f"`{group}`")), [F.col(g_), *order], p_, a_)
+    per = rows.groupBy(g_, p_).agg(F.count("*").alias("n"), F.min(a_).alias(f_))
     w = Window.partitionBy(g_)
-    before = per.select(F.col(g_).alias(j_), F.col(s_).alias(k_), (F.sum("n").over(w.orderBy(s_)) - F.col("n")).alias(b_), F.sum("n").over(w).alias(t_))  # a row per group and slice
-    ranked = sliced.withColumn(r_, F.row_number().over(Window.partitionBy(g_, s_).orderBy(*order)))
-    done = ranked.join(before, F.col(g_).eqNullSafe(F.col(j_)) & (F.col(s_) == F.col(k_))).withColumn(out, (F.col(b_) + F.col(r_)).cast("long"))
+    before = per.select(F.col(g_).alias(j_), F.col(p_).alias(k_), f_, (F.sum("n").over(w.orderBy(p_)) - F.col("n")).alias(b_), F.sum("n").over(w).alias(t_))  # a row per group and range
+    done = rows.join(before, F.col(g_).eqNullSafe(F.col(j_)) & (F.col(p_) == F.col(k_))).withColumn(out, (F.col(b_) + F.col(a_) - F.col(f_) + 1).cast("long"))
     if total:
         done = done.withColumn(total, F.col(t_))
-    return done.drop(g_, s_, r_, b_, t_, j_, k_)
+    return done.drop(g_, p_, a_, f_, b_, t_, j_, k_)
 
 
 def first_by(df: DataFrame, key: str | list[str], pos: str) -> DataFrame:

@@ -16,6 +16,8 @@ from lodestar.functions import text as T
 from lodestar.functions import vector as V
 from lodestar.operators import align, answers, batch_eval, clusters, dense, grams, lexical, mixing, models, multihop, negatives, ranking, report
 from lodestar.plans import shared
+from lodestar.sources.sinks import scratch
+from lodestar.streaming.runs import RunBoard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -758,6 +760,18 @@ def running_best(spark, sf_dir):
     return report.curve_marks(_history(spark, sf_dir), "user_id", "event_id", "value")
 
 
+@query(
+    f"""WITH {_HIST}, b AS (SELECT user_id, event_id AS best_step, value AS best FROM h QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) = 1)
+SELECT user_id, best_step, best, max(event_id) AS last_step, count(*) AS n, count(*) FILTER (event_id > best_step) AS stale FROM h JOIN b USING (user_id) GROUP BY ALL"""
+)
+def followed_runs(spark, sf_dir):
+    """The table as a stream of files of run records, eight a batch."""
+    path = f"{sf_dir}/events.parquet"
+    board = RunBoard(spark, scratch(spark), "user_id", "event_id")
+    board.follow(spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/[e]vents.parquet"))  # a pattern may name a file or a folder
+    return board.best()
+
+
 @query(f"WITH {_HIST}, e AS (SELECT user_id, arg_min(value, event_id) AS f, arg_max(value, event_id) AS l FROM h GROUP BY 1) SELECT user_id, round(f, 6) AS first, round(l, 6) AS last, round(l - f, 6) AS gain, round(CASE WHEN f <> 0 THEN l / f END, 6) AS ratio FROM e")
 def curve_deltas(spark, sf_dir):
     return report.curve_deltas(_history(spark, sf_dir), "user_id", "event_id", "value")
