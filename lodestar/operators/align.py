@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
+from lodestar.operators.mixing import ranked_within
 
 
 def pairs(df: DataFrame, key: str, premise: str, hypothesis: str, words: int = 350) -> DataFrame:
@@ -116,8 +117,8 @@ def augmented(df: DataFrame, key: str = "id", seed: str = "align") -> DataFrame:
     """(key, task, text_a, text_b, tri, bin, reg): one training pair per example (D17), random choices by hash of the key.
 
     A sampled negative without a text_c is the text_b of another row of the task: the next one in hash order, the first after the last.
+    Rows find their place in that ring by ranges, so a task may have any number of rows.
     """
-    from pyspark.sql import Window
 
     def u(salt: str) -> Column:
         return F.conv(F.substring(T.hash_order(F.col(key), seed + salt), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
@@ -125,9 +126,10 @@ def augmented(df: DataFrame, key: str = "id", seed: str = "align") -> DataFrame:
     def pick(a: Column, salt: str) -> Column:
         return F.get(a, F.floor(u(salt) * F.size(a)).cast("int"))
 
-    order = Window.partitionBy("task").orderBy(T.hash_order(F.col(key), seed + "next"), key)
     first = F.get(F.col("text_b"), F.lit(0))
-    rows = df.withColumn("_other", F.coalesce(F.lead(first).over(order), F.first(first).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    ring = ranked_within(df, "task", [T.hash_order(F.col(key), seed + "next"), F.col(key)], "_at", "_of")
+    after = ring.select(F.col("task").alias("_t"), F.col("_at").alias("_n"), first.alias("_other"))
+    rows = ring.join(after, F.col("task").eqNullSafe(F.col("_t")) & (F.col("_n") == F.col("_at") % F.col("_of") + 1)).drop("_at", "_of", "_t", "_n")
     kind = F.create_map(*[F.lit(x) for t, (k, _) in TASKS.items() for x in (t, k)])[F.col("task")]
     how = F.create_map(*[F.lit(x) for t, (_, h) in TASKS.items() for x in (t, h)])[F.col("task")]
     label = F.when((kind == "tri") & (F.col("orig_label") == -1), F.lit(1.0)).otherwise(F.col("orig_label"))
