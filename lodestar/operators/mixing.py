@@ -15,9 +15,9 @@ HEX = 4  # digits of a hash that are counted first
 _LOW = (1 << 33) - 1  # the bits of a row's number within its partition
 
 
-def _names(df: DataFrame, *wanted: str) -> list[str]:
-    """The wanted names, with underscores before those that df has."""
-    taken = {c.lower() for c in df.columns}
+def _names(df: DataFrame, *wanted: str, made: tuple = ()) -> list[str]:
+    """The wanted names, with underscores before those that df has or that are made for the user."""
+    taken = {c.lower() for c in [*df.columns, *made] if c}
     out = []
     for w in wanted:
         while w.lower() in taken:
@@ -44,7 +44,7 @@ def numbered(df: DataFrame, key: str, out: str = "pos") -> DataFrame:
 
     Rows are sorted by ranges; counts per range give each its first position.
     """
-    p_, a_, b_ = _names(df, "part", "place", "before")
+    p_, a_, b_ = _names(df, "part", "place", "before", made=(out,))
     rows = _placed(df, [F.col(f"`{key}`")], p_, a_)
     per = rows.groupBy(p_).agg(F.count("*").alias("n"))
     before = per.select(p_, (F.sum("n").over(Window.orderBy(p_)) - F.col("n")).alias(b_))  # a row per range
@@ -57,7 +57,7 @@ def ranked_within(df: DataFrame, group: str | None, order: list[Column], out: st
     Rows are sorted by ranges of group and order; a large group lies in many partitions, and a row's position is the group's rows in
     earlier ones and its place among those of its own.
     """
-    g_, p_, a_, f_, b_, t_, j_, k_ = _names(df, "of", "part", "place", "first", "before", "size", "j", "k")
+    g_, p_, a_, f_, b_, t_, j_, k_ = _names(df, "of", "part", "place", "first", "before", "size", "j", "k", made=(out, total))
     rows = _placed(df.withColumn(g_, F.lit(0) if group is None else F.col(f"`{group}`")), [F.col(g_), *order], p_, a_)
     per = rows.groupBy(g_, p_).agg(F.count("*").alias("n"), F.min(a_).alias(f_))
     w = Window.partitionBy(g_)

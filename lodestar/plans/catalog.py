@@ -778,12 +778,12 @@ def curve_deltas(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from lodestar.plans import records  # noqa: F401  registers more
+    from lodestar.plans import extended, records  # noqa: F401  register more
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from lodestar.plans import records  # noqa: F401  registers more
+    from lodestar.plans import extended, records  # noqa: F401  register more
 
     return dict(ORACLES)
