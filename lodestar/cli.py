@@ -28,7 +28,7 @@ def evaluate(spark, a) -> None:
 def build_index(spark, a) -> None:
     rows = readers.read_records(spark, a.input).where(F.col(a.text).isNotNull() & (F.col(a.text) != ""))
     if a.kind == "bm25":
-        lexical.build(rows, a.id, a.text).save(a.output)
+        lexical.build(rows, a.id, a.text, path=a.output)
         return
     vectors = models.encode(rows.select(a.id, a.text), a.text, a.encoder).select(F.col(a.id).alias("id"), "vec")
     sinks.write_index(mixing.numbered(vectors, "id"), a.output, encoder=a.encoder, text_col=a.text, id_col=a.id)

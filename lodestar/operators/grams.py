@@ -6,7 +6,8 @@ text the index keeps
 * anchors: the LONG-byte grams that are least, by a fixed hash, in some window of WINDOW consecutive ones, with their
   positions. A string of at least LONG + WINDOW - 1 bytes has an anchor of its own wherever it stands, since what is least in
   a window inside the string is so in any text around it. About one position in WINDOW / 2 is kept;
-* short grams: the distinct grams of 1, 2 and 3 bytes, and the empty one, for shorter strings.
+* short grams, if wanted: the distinct grams of 1, 2 and 3 bytes, and the empty one, for shorter strings. They take about
+  as much room as the texts, so by default they are made from the texts when a search has shorter strings.
 
 A string asks for its RAREST grams by the number of entries they have. Entries vote for (text, place at which the string
 would begin); only those with all votes are candidates, and each is verified by `contains`. Grams that very many texts share
@@ -40,19 +41,20 @@ CHUNK = 4 << 20
 
 @dataclass
 class GramIndex:
-    """anchors(gram, did, pos), short(gram, did)."""
+    """anchors(gram, did, pos), short(gram, did) or None."""
 
     anchors: DataFrame
-    short: DataFrame
+    short: DataFrame | None = None
 
     def save(self, path: str) -> None:
         """Sorted by gram within each file, so that a search for few grams skips row groups."""
         self.anchors.sortWithinPartitions("gram").write.parquet(f"{path}/anchors")
-        self.short.sortWithinPartitions("gram").write.parquet(f"{path}/short")
+        if self.short is not None:
+            self.short.sortWithinPartitions("gram").write.parquet(f"{path}/short")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> GramIndex:
-        return GramIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("anchors", "short")))
+    def load(spark: SparkSession, path: str, short: bool = False) -> GramIndex:
+        return GramIndex(*(spark.read.parquet(f"{path}/{t}") for t in (("anchors", "short") if short else ("anchors",))))
 
 
 def _codes(data: np.ndarray, size: int) -> np.ndarray:
@@ -128,9 +130,17 @@ def _grams(rows: DataFrame, long: bool) -> DataFrame:
     return rows.mapInArrow(run, f"gram long, key {key_type}, pos long")
 
 
-def build(docs: DataFrame, did: str, text: str) -> GramIndex:
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(did).alias("did"), F.lower(text).alias("low"))
-    return GramIndex(_grams(rows, True).select("gram", F.col("key").alias("did"), "pos"), _grams(rows, False).select("gram", F.col("key").alias("did")))
+def _low(docs: DataFrame, did: str, text: str) -> DataFrame:
+    return docs.where(F.col(text).isNotNull()).select(F.col(did).alias("did"), F.lower(text).alias("low"))
+
+
+def _short(docs: DataFrame, did: str, text: str) -> DataFrame:
+    return _grams(_low(docs, did, text), False).select("gram", F.col("key").alias("did"))
+
+
+def build(docs: DataFrame, did: str, text: str, short: bool = False) -> GramIndex:
+    anchors_ = _grams(_low(docs, did, text), True).select("gram", F.col("key").alias("did"), "pos")
+    return GramIndex(anchors_, _short(docs, did, text) if short else None)
 
 
 def _voted(entries: DataFrame, asked: DataFrame, begin: Column) -> DataFrame:
@@ -152,24 +162,27 @@ def _voted(entries: DataFrame, asked: DataFrame, begin: Column) -> DataFrame:
     return hits.groupBy("key", "did", begin.alias("begin")).agg(F.count("*").alias("n"), F.first("votes").alias("votes")).where("n = votes").select("key", "did").distinct()
 
 
-def candidates(index: GramIndex, items: DataFrame, item: str, text: str) -> DataFrame:
-    """(item, did): all texts that may contain the item's string, and few others."""
+def candidates(index: GramIndex, items: DataFrame, item: str, text: str, docs: DataFrame, did: str, doc_text: str) -> DataFrame:
+    """(item, did): all texts that may contain the item's string, and few others. docs, did, doc_text: where short grams come from if the index has none."""
     strings = items.where(F.col(text).isNotNull()).select(F.col(item).alias("item"), F.lower(text).alias("low")).withColumn("key", F.sha2("low", 256))
     rows = strings.groupBy("key").agg(F.first("low").alias("low"))  # equal strings are asked for once
     size = F.octet_length("low")
     longer, shorter = rows.where(size >= LONG + WINDOW - 1), rows.where(size < LONG + WINDOW - 1)
     by_place = _voted(index.anchors, _grams(longer, True).distinct(), F.col("pos") - F.col("off"))
+    by_item = strings.select("key", "item").distinct()
+    if not shorter.limit(1).count():
+        return by_place.join(by_item, "key").select("item", "did")
     # of a short string only its longest grams are asked for: the others are in any text that has those
     grams_ = _grams(shorter, False).withColumn("size", F.shiftright("gram", 56))
     top = shorter.select("key", F.least(F.octet_length("low"), F.lit(SHORT)).alias("size"))
     asked = grams_.join(top.distinct(), ["key", "size"]).select("gram", "key", F.lit(0).cast("long").alias("pos")).distinct()
-    by_set = _voted(index.short, asked, F.lit(0))
-    return by_place.union(by_set).join(strings.select("key", "item").distinct(), "key").select("item", "did")
+    by_set = _voted(_short(docs, did, doc_text) if index.short is None else index.short, asked, F.lit(0))
+    return by_place.union(by_set).join(by_item, "key").select("item", "did")
 
 
 def containing(index: GramIndex, docs: DataFrame, did: str, text: str, items: DataFrame, item: str, item_text: str) -> DataFrame:
     """(item, did): the document's text contains the item's string, in any case."""
-    may = candidates(index, items, item, item_text)
+    may = candidates(index, items, item, item_text, docs, did, text)
     strings = items.where(F.col(item_text).isNotNull()).select(F.col(item).alias("item"), F.lower(item_text).alias("wanted"))
     texts = docs.where(F.col(text).isNotNull()).select(F.col(did).alias("did"), F.col(text).alias("text"))
     both = may.join(strings, "item").join(texts, "did")

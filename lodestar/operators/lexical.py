@@ -1,14 +1,15 @@
 """BM25: blocked postings, statistics, top-k search that reads few of them.
 
-A block holds a term's entries for about DOCS documents, which are dealt by a hash of their id, and the greatest weight among
-them; so no row or task holds the whole list of a common term. `search` works in three steps:
+Postings are inverted where the documents are: a block is the index of some DOCS documents of one input partition, a row per
+term with its entries and the greatest weight among them. Building shuffles nothing, and no row or task holds the whole
+list of a common term. `search` works in three steps:
 
 * a floor for every query: its rarest terms (of common ones, a few blocks) give partial scores, whose k-th greatest is one;
-* terms that even together stay below the floor can't lift a document alone. The others' blocks are read, unless the greatest
+* terms that even together stay well below the floor can't lift a document alone. The others' blocks are read, unless the greatest
   weights of a query's terms in a block, with all it can gain from the left-out terms, stay below the floor;
 * only documents that can still reach the floor get the left-out terms' weights, from the blocks that hold them.
 
-All three are equi-joins on (term, block). The result equals scoring every hit (`scores`).
+All three are equi-joins on the term and the block. The result equals scoring every hit (`scores`).
 """
 
 from __future__ import annotations
@@ -16,16 +17,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import word_tokens
-from lodestar.sources.sinks import kept
+from lodestar.sources.sinks import kept, scratch
 
 K1, B = 1.5, 0.75
-#: Documents of a block, about; entries that a query's floor is taken from, per wanted row, and terms that are read for it whole.
-DOCS, FIRST = 4096, 50
+#: Documents and tokens of a block at most, about; entries that a query's floor is taken from, per wanted row.
+DOCS, TOKENS, FIRST = 4096, 2_000_000, 50
+#: Ways in which the blocks of common terms are dealt.
+SLOTS = 4096
 #: Terms that together add less than this share of the floor are left for later.
 LATE = 0.5
 #: Scores are rounded to 6 places before they are ranked; bounds give way by more than that.
@@ -36,11 +41,13 @@ SMALL = 200_000
 
 @dataclass
 class Index:
-    """blocks(term, block, most, n, entries of (did, tf, dl)), terms(term, df, idf, most) and the corpus statistics. `save` it once and search often."""
+    """blocks(term, block, most, n, entries of (did, tf, dl)), terms(term, df, idf, most), the corpus statistics, and whether ids are
+    distinct. `save` it once and search often."""
 
     blocks: DataFrame
     terms: DataFrame
     stats: DataFrame  # one row: n, avgdl
+    distinct: bool = True
 
     @property
     def postings(self) -> DataFrame:
@@ -48,15 +55,16 @@ class Index:
         return self.blocks.select("term", F.explode("entries").alias("e")).select("e.did", "term", "e.tf", "e.dl")
 
     def save(self, path: str) -> None:
-        """Texts are read for the statistics and for the blocks; terms come from the written blocks."""
         spark = self.blocks.sparkSession
-        self.stats.write.parquet(f"{path}/stats")
         self.blocks.write.parquet(f"{path}/blocks")
-        _terms(*(spark.read.parquet(f"{path}/{t}") for t in ("blocks", "stats"))).write.parquet(f"{path}/terms")
+        self.terms.write.parquet(f"{path}/terms")
+        self.stats.write.parquet(f"{path}/stats")
+        spark.createDataFrame([(self.distinct,)], "ids boolean").coalesce(1).write.parquet(f"{path}/distinct")
 
     @staticmethod
     def load(spark, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("blocks", "terms", "stats")))
+        tables = [spark.read.parquet(f"{path}/{t}") for t in ("blocks", "terms", "stats")]
+        return Index(*tables, spark.read.parquet(f"{path}/distinct").first()["ids"])
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -68,37 +76,68 @@ def _weight(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def _counted(tokens: DataFrame) -> DataFrame:
-    """(did, dl, t) as (did, dl, term, tf): a document's terms are counted where it is, nothing is shuffled."""
+def _inverted(ids: pa.Array, lists: pa.ListArray, avgdl: float, block: int) -> pa.RecordBatch:
+    """Some documents' words as (term, block, most, n, entries)."""
+    dl = np.diff(lists.offsets.to_numpy())
+    words = lists.flatten().dictionary_encode()
+    code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(ids) + np.repeat(np.arange(len(ids)), dl)
+    code, tf = np.unique(code, return_counts=True)
+    term, doc = np.divmod(code, max(1, len(ids)))
+    first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
+    weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
+    offsets = np.r_[first, len(term)].astype(np.int32)
+    entries = pa.StructArray.from_arrays([ids.take(pa.array(doc)), pa.array(tf.astype(np.int64)), pa.array(dl[doc].astype(np.int64))], ["did", "tf", "dl"])
+    most = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
+    columns = [words.dictionary.take(pa.array(term[first])), pa.array(np.full(len(first), block, np.int64)), pa.array(most), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), entries)]
+    return pa.RecordBatch.from_arrays(columns, ["term", "block", "most", "n", "entries"])
+
+
+def _blocks(tokens: DataFrame, avgdl: float, docs: int) -> DataFrame:
     did = tokens.schema["did"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 24
+        ids: list[pa.Array] = []
+        lists: list[pa.Array] = []
+        rows = size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            made = _inverted(pa.concat_arrays(ids), pa.concat_arrays(lists), avgdl, number)
+            for lo in range(0, made.num_rows, 20_000):
+                yield made.slice(lo, 20_000)
+
         for b in batches:
-            lists = b.column(2)
-            t = pa.table({"at": lists.value_parent_indices().cast(pa.int64()), "term": lists.flatten()})
-            t = t.group_by(["at", "term"]).aggregate([([], "count_all")])
-            at = t.column("at").combine_chunks()
-            if isinstance(at, pa.ChunkedArray):
-                at = pa.concat_arrays(at.chunks) if at.num_chunks else pa.array([], pa.int64())
-            out = pa.table({"did": b.column(0).take(at), "dl": b.column(1).take(at), "term": t.column("term"), "tf": t.column("count_all")})
-            yield from out.to_batches(max_chunksize=50_000)
-
-    return tokens.select("did", "dl", "t").mapInArrow(run, f"did {did}, dl long, term string, tf long")
-
-
-def build(docs: DataFrame, did: str, text: str, block: int = DOCS) -> Index:
-    """Documents without a token have no posting but count in n and avgdl. Of equal ids each row counts as a document; their weights add up."""
-    tokens = docs.select(F.col(did).alias("did"), word_tokens(F.col(text)).alias("t")).withColumn("dl", F.size("t").cast("long"))
-    counts = tokens.agg(F.count("*").alias("n"), F.when(F.sum("dl") > 0, F.avg("dl")).otherwise(F.lit(1.0)).alias("avgdl"))
-    n, avgdl = counts.first()
-    ways = max(1, -(-n // block))
-    stats = docs.sparkSession.createDataFrame([(n, avgdl)], "n long, avgdl double")
-    rows = _counted(tokens).withColumn("block", F.pmod(F.xxhash64("did"), F.lit(ways)).cast("int"))
-    grouped = rows.groupBy("term", "block").agg(F.collect_list(F.struct("did", "tf", "dl")).alias("entries"), F.max(_weight(F.col("tf"), F.col("dl"), F.lit(avgdl))).alias("one"), F.sum(_weight(F.col("tf"), F.col("dl"), F.lit(avgdl))).alias("all"))
-    ids = F.transform("entries", lambda e: e["did"])
-    most = F.when(F.size(F.array_distinct(ids)) == F.size(ids), F.col("one")).otherwise(F.col("all"))
-    blocks = grouped.select("term", "block", most.alias("most"), F.size("entries").cast("long").alias("n"), "entries")
-    return Index(blocks, _terms(blocks, stats), stats)
+            lo = 0
+            while lo < b.num_rows:
+                part = b.slice(lo, docs - rows)
+                ids.append(part.column(0))
+                lists.append(part.column(1))
+                rows, size, lo = rows + part.num_rows, size + len(part.column(1).flatten()), lo + part.num_rows
+                if rows >= docs or size >= TOKENS:
+                    yield from out()
+                    ids, lists, rows, size, number = [], [], 0, 0, number + 1
+        if ids:
+            yield from out()
+
+    return tokens.select("did", "t").mapInArrow(run, f"term string, block long, most double, n long, entries array<struct<did: {did}, tf: long, dl: long>>")
+
+
+def build(docs: DataFrame, did: str, text: str, block: int = DOCS, path: str | None = None) -> Index:
+    """Documents without a token have no posting but count in n and avgdl. Of equal ids each row counts as a document; their weights add up.
+
+    Texts are read for the statistics and for the blocks, which are written: to `path`, or to a scratch folder.
+    """
+    spark = docs.sparkSession
+    path = path or scratch(spark)
+    tokens = docs.select(F.col(did).alias("did"), word_tokens(F.col(text)).alias("t"))
+    n, avgdl = tokens.select(F.size("t").cast("long").alias("dl")).agg(F.count("*").alias("n"), F.when(F.sum("dl") > 0, F.avg("dl")).otherwise(F.lit(1.0)).alias("avgdl")).first()
+    stats = spark.createDataFrame([(n, avgdl)], "n long, avgdl double")
+    stats.coalesce(1).write.parquet(f"{path}/stats")
+    _blocks(tokens, avgdl, block).write.parquet(f"{path}/blocks")
+    _terms(spark.read.parquet(f"{path}/blocks"), stats).write.parquet(f"{path}/terms")
+    repeated = docs.groupBy(did).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    spark.createDataFrame([(repeated == 0,)], "ids boolean").coalesce(1).write.parquet(f"{path}/distinct")
+    return Index.load(spark, path)
 
 
 def _terms(blocks: DataFrame, stats: DataFrame) -> DataFrame:
@@ -125,13 +164,27 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
+def _weighed(hits: DataFrame, avgdl: float) -> DataFrame:
+    return hits.select("qid", "block", "e.did", (F.col("idf") * _weight(F.col("e.tf"), F.col("e.dl"), F.lit(avgdl))).alias("s"))
+
+
 def _entries(index: Index, wanted: DataFrame, avgdl: float) -> DataFrame:
     """(qid, block, did, s): an entry's weight times idf, for wanted (qid, term, idf, block) and, if it has `only`, those documents alone."""
     wanted = kept(wanted)
     hits = index.blocks.select("term", "block", "entries").join(_small(wanted), ["term", "block"])
     entries = F.filter("entries", lambda e: F.array_contains("only", e["did"])) if "only" in wanted.columns else F.col("entries")
-    hits = hits.select("qid", "block", "idf", F.explode(entries).alias("e"))
-    return hits.select("qid", "block", "e.did", (F.col("idf") * _weight(F.col("e.tf"), F.col("e.dl"), F.lit(avgdl))).alias("s"))
+    return _weighed(hits.select("qid", "block", "idf", F.explode(entries).alias("e")), avgdl)
+
+
+def _some_entries(index: Index, wanted: DataFrame, avgdl: float) -> DataFrame:
+    """As `_entries` for wanted (qid, term, idf, slots): blocks of the term's first so many slots, or all of them."""
+    wanted = kept(wanted)
+    blocks = index.blocks.select("term", "block", F.pmod(F.xxhash64("block"), F.lit(SLOTS)).cast("int").alias("slot"), "entries")
+    rare, common = wanted.where(F.col("slots") >= SLOTS), wanted.where(F.col("slots") < SLOTS)
+    hits = blocks.join(_small(rare), "term").select("qid", "block", "idf", "entries")
+    spread = common.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+    hits = hits.union(blocks.join(_small(spread), ["term", "slot"]).select("qid", "block", "idf", "entries"))
+    return _weighed(hits.select("qid", "block", "idf", F.explode("entries").alias("e")), avgdl)
 
 
 def asked_terms(index: Index, queries: DataFrame, qid: str, text: str) -> DataFrame:
@@ -140,14 +193,13 @@ def asked_terms(index: Index, queries: DataFrame, qid: str, text: str) -> DataFr
     return index.terms.join(_small(rows), "term").select("qid", "term", "idf", "df", (F.col("idf") * F.col("most")).alias("up"))
 
 
-def floors(index: Index, asked: DataFrame, k: int, avgdl: float, ways: int, without: DataFrame | None = None) -> DataFrame:
+def floors(index: Index, asked: DataFrame, k: int, avgdl: float, without: DataFrame | None = None) -> DataFrame:
     """(qid, least): k documents of the query score so much at least; no row for a query with fewer."""
     upto = Window.partitionBy("qid").orderBy("df", "term")
     rare = asked.withColumn("before", F.sum("df").over(upto) - F.col("df")).where(F.col("before") < FIRST * k)
     # of a common term so many blocks as hold about FIRST * k entries: any part of a score is less than all of it
-    some = F.least(F.lit(ways), F.ceil(F.lit(2.0 * FIRST * k * ways) / F.col("df")))
-    wanted = rare.select("qid", "term", "idf", F.explode(F.sequence(F.lit(0), (some - 1).cast("int"))).alias("block"))
-    part = _entries(index, wanted, avgdl).groupBy("qid", "did").agg(F.sum("s").alias("score"))
+    slots = F.least(F.lit(SLOTS), F.ceil(F.lit(2.0 * FIRST * k * SLOTS) / F.col("df"))).cast("int")
+    part = _some_entries(index, rare.select("qid", "term", "idf", slots.alias("slots")), avgdl).groupBy("qid", "did").agg(F.sum("s").alias("score"))
     if without is not None:
         part = part.join(without, ["qid", "did"], "left_anti")
     return top_k(part, k).where(F.col("rank") == k).select("qid", (F.col("score") - SLACK).alias("least"))
@@ -156,10 +208,12 @@ def floors(index: Index, asked: DataFrame, k: int, avgdl: float, ways: int, with
 def search(index: Index, queries: DataFrame, qid: str, text: str, k: int, without: DataFrame | None = None) -> DataFrame:
     """(qid, did, score, rank) of the k best documents with a term of the query; pairs (qid, did) of `without` are left out before ranking."""
     avgdl = index.stats.first()["avgdl"]
-    ways = (index.blocks.agg(F.max("block")).first()[0] or 0) + 1
     without = None if without is None else without.select("qid", "did").distinct()
+    if not index.distinct:  # a block's greatest weight bounds a row, not all rows of an id
+        every = scores(index, queries, qid, text)
+        return top_k(every if without is None else every.join(without, ["qid", "did"], "left_anti"), k)
     asked = kept(asked_terms(index, queries, qid, text))
-    least = kept(floors(index, asked, k, avgdl, ways, without))
+    least = kept(floors(index, asked, k, avgdl, without))
     # terms by what they can add: a tail that stays well below the floor as a whole is left for later
     tail = F.sum("up").over(Window.partitionBy("qid").orderBy("up", F.desc("term")))
     parted = asked.join(_small(least), "qid", "left").withColumn("least", F.coalesce("least", F.lit(-1.0))).withColumn("late", tail < LATE * F.col("least"))

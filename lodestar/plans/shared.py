@@ -31,7 +31,7 @@ def written(spark: SparkSession, table: str, kind: str, write: Callable[[DataFra
 
 def bm25(spark: SparkSession, sf_dir: str) -> lexical.Index:
     """The documents' postings."""
-    return lexical.Index.load(spark, written(spark, f"{sf_dir}/documents.parquet", "bm25", lambda docs, path: lexical.build(docs, "doc_id", "text").save(path)))
+    return lexical.Index.load(spark, written(spark, f"{sf_dir}/documents.parquet", "bm25", lambda docs, path: lexical.build(docs, "doc_id", "text", path=path)))
 
 
 def gram_index(spark: SparkSession, sf_dir: str) -> grams.GramIndex:
