@@ -90,3 +90,20 @@ def self_similarity_kl(student: DataFrame, teacher: DataFrame, temperature: floa
     both = logs(teacher, "t").join(logs(student, "s"), ["batch_id", "q", "d"])
     per = both.groupBy("batch_id").agg(F.sum(F.exp("t") * (F.col("t") - F.col("s"))).alias("kl"), F.countDistinct("q").alias("n"))
     return per.select("batch_id", F.round(F.col("kl") / F.col("n") * F.lit(float(temperature) ** 2), 6).alias("loss"))
+
+
+def stacked(batched: DataFrame, first: str, second: str, out: str = "vec") -> DataFrame:
+    """(batch_id, slot, out): a batch's first vectors, then its second ones, as one batch of twice the size."""
+    width = batched.groupBy("batch_id").agg((F.max("slot") + 1).alias("_w"))
+    rows = batched.select("batch_id", "slot", F.col(first).alias("_a"), F.col(second).alias("_b")).join(width, "batch_id")
+    both = F.array(F.struct(F.col("slot").alias("slot"), F.col("_a").alias("v")), F.struct((F.col("slot") + F.col("_w")).alias("slot"), F.col("_b").alias("v")))
+    return rows.select("batch_id", F.explode(both).alias("_r")).select("batch_id", F.col("_r.slot").cast("int").alias("slot"), F.col("_r.v").alias(out))
+
+
+def ranking_distilled_loss(batched: DataFrame, student: tuple[str, str], teacher: tuple[str, str], weight: float, scale: float = 20.0, temperature: float = 2.0) -> DataFrame:
+    """(batch_id, mnr, kl, loss): multiple negatives ranking of (query, positive), and weight times the KL of the teacher's to the student's
+    similarities among all queries and positives of the batch (X9)."""
+    mnr = in_batch_softmax_loss(similarities(batched, *student), scale).withColumnRenamed("loss", "mnr")
+    own, other = (similarities(stacked(batched, *pair), "vec", "vec") for pair in (student, teacher))
+    kl = self_similarity_kl(own, other, temperature).withColumnRenamed("loss", "kl")
+    return mnr.join(kl, "batch_id").select("batch_id", "mnr", "kl", F.round(F.col("mnr") + F.lit(float(weight)) * F.col("kl"), 5).alias("loss"))

@@ -73,16 +73,48 @@ def grouped_ids(df: DataFrame, key: str, item: str) -> DataFrame:
 # -- judgements --------------------------------------------------------------------------
 
 
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+
+
+def _object(depth: int) -> str:
+    """A pattern whose group is each balanced JSON object with so many levels of objects inside; braces within strings don't count."""
+    inner = rf"[^{{}}\"]++|{_STRING}"
+    for _ in range(depth):
+        inner = rf'[^{{}}\"]++|{_STRING}|\{{(?:{inner})*+\}}'
+    return rf"(?s)(?=(\{{(?:{inner})*+\}}))\{{"  # what is inside an object is looked at as well
+
+
+def _objects(payload: Column, schema: str) -> Column:
+    """All balanced objects of a text, parsed."""
+    return F.transform(F.regexp_extract_all(F.coalesce(payload, F.lit("")), F.lit(_object(3)), F.lit(1)), lambda x: F.from_json(x, schema))
+
+
 def verdict(payload: Column) -> Column:
-    """struct(label, score, reason) of a judge's answer, which may have words around its JSON object; nulls where there is none."""
-    body = F.regexp_extract(F.coalesce(payload, F.lit("")), r"(?s)\{.*\}", 0)
-    got = F.from_json(body, "verdict struct<label: string, reason: string>, label string, score double, reason string")
-    return F.struct(F.lower(F.coalesce(got["verdict"]["label"], got["label"])).alias("label"), got["score"].alias("score"), F.coalesce(got["verdict"]["reason"], got["reason"]).alias("reason"))
+    """struct(label, score, reason) of a judge's answer, which may have words and other braces around its JSON object; nulls where there is none.
 
+    The first balanced object with a label, a score or a reason counts.
+    """
+    found = F.transform(
+        _objects(payload, "verdict struct<label: string, reason: string>, label string, score double, reason string"),
+        lambda got: F.struct(F.lower(F.coalesce(got["verdict"]["label"], got["label"])).alias("label"), got["score"].alias("score"), F.coalesce(got["verdict"]["reason"], got["reason"]).alias("reason")),
+    )
+    some = F.filter(found, lambda x: x["label"].isNotNull() | x["score"].isNotNull() | x["reason"].isNotNull())
+    none = F.struct(F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("reason"))
+    return F.coalesce(F.get(some, F.lit(0)), none)
+
+
+def golden(references: Column, single: Column | None = None) -> Column:
+    """All reference answers as one text; without any, the single one, or the empty text."""
+    joined = F.array_join(references, " OR ")
+    if single is None:
+        return joined
+    return F.when(F.coalesce(F.size(references), F.lit(0)) > 0, joined).otherwise(F.coalesce(single, F.lit("")))
 
-def golden(references: Column) -> Column:
-    """All reference answers as one text."""
-    return F.array_join(references, " OR ")
+
+def qa_payload(payload: Column) -> Column:
+    """struct(question, golden) of a JSON text with question and reference_answers or reference_answer; empty where there is none."""
+    got = F.from_json(F.coalesce(payload, F.lit("")), "question string, reference_answers array<string>, reference_answer string")
+    return F.struct(F.coalesce(got["question"], F.lit("")).alias("question"), golden(F.coalesce(got["reference_answers"], F.array().cast("array<string>")), got["reference_answer"]).alias("golden"))
 
 
 def plain_query(c: Column) -> Column:
@@ -99,10 +131,14 @@ def curriculum(epoch: Column, first: float, last: float, epochs: int) -> Column:
 
 
 def judge_settings(given: dict, config: dict) -> dict | None:
-    """Address, key and model of a judge: given, else base_url, else llm_base_url; None unless all three are there."""
-    url = given.get("base_url") or config.get("base_url") or config.get("llm_base_url")
-    out = {"base_url": url, "api_key": given.get("api_key") or config.get("api_key"), "model": given.get("model") or config.get("model")}
-    return out if all(out.values()) else None
+    """Address, key and model of a judge: given, else the configuration's, else its llm_ ones; None unless all three are there.
+
+    A configured temperature comes along; a judge without one is asked at 0.
+    """
+    out = {k: given.get(k) or config.get(k) or config.get(f"llm_{k}") for k in ("base_url", "api_key", "model")}
+    if not all(out.values()):
+        return None
+    return out | ({"temperature": float(config["temperature"])} if config.get("temperature") is not None else {})
 
 
 def template_of(config: dict, task: dict, model: str) -> str:

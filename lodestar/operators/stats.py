@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import word_tokens
+from lodestar.functions.text import hash_order, word_tokens
 from lodestar.functions.vector import cosine, dot
 from lodestar.operators.lexical import B, K1, idf
+from lodestar.operators.mixing import ranked_within
 
 
 def similarity_stats(df: DataFrame, group: str, sim: str, sample: bool = False) -> DataFrame:
@@ -93,6 +94,16 @@ def distillation(df: DataFrame, student: str, teacher: str) -> DataFrame:
     )
 
 
+def shuffled_cosine(df: DataFrame, key: str, student: str, teacher: str, seed: str | int = 0) -> DataFrame:
+    """One row: the mean cosine of each student vector with the teacher vector of another row, the next one in hash order, the first after the last.
+
+    What a student that tells no two texts apart would reach; next to the mean cosine of the own vectors it shows what was learnt.
+    """
+    rows = ranked_within(df.select(F.col(key).alias("k"), F.col(student).alias("s"), F.col(teacher).alias("t")), None, [hash_order(F.col("k"), seed), F.col("k")], "at", "of")
+    other = rows.select((F.pmod(F.col("at") - 2, F.col("of")) + 1).alias("at"), F.col("t").alias("o"))
+    return rows.join(other, "at").agg(F.round(F.avg(cosine(F.col("s"), F.col("t"))), 6).alias("cosine"), F.round(F.avg(cosine(F.col("s"), F.col("o"))), 6).alias("cosine_shuffled"), F.count("*").alias("n"))
+
+
 def combined_loss(parts: dict[str, tuple[DataFrame, float]]) -> DataFrame:
     """(batch_id, loss): weighted sum of batch losses."""
     rows = [df.select("batch_id", (F.col("loss") * F.lit(w)).alias("loss")) for df, w in parts.values()]

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.operators import align, sampling
-from lodestar.plans.catalog import _table, _vectors, query
+from lodestar.functions import text as T
+from lodestar.functions import vector as V
+from lodestar.operators import align, batch_eval, dense, ranking, records, sampling, stats
+from lodestar.plans.catalog import _SIM, _SPACE, _VEC, _batched, _metric_sql, _table, _triplets, _vectors, _LONG, query
+from lodestar.sources import readers
 from lodestar.sources.sinks import scratch
 from lodestar.sources.teacher import TeacherStore, concatenated, write_store
 
@@ -134,3 +137,86 @@ def augmented_tasks(spark, sf_dir):
     )
     made = align.augmented(rows)
     return made.select("id", "task", F.md5("text_a").alias("text_a"), F.md5("text_b").alias("text_b"), "tri", "bin", "reg")
+
+
+# -- short passages ------------------------------------------------------------------------------
+
+_UNIT = "list_transform({0}, lambda x: x / CASE WHEN list_dot_product({0}, {0}) = 0 THEN 1 ELSE sqrt(list_dot_product({0}, {0})) END)"
+
+
+def _short_pairs(spark, sf_dir):
+    """Documents of 1 to 70 pieces with their own vector, asked for by the vector after it."""
+    d = _table(spark, sf_dir, "documents").where(F.size(T.space_tokens(F.col("text"))).between(1, 70)).select("doc_id")
+    v = _vectors(spark, sf_dir).select("vec_id", V.unit(F.col("vec")).alias("vec"))
+    asked = v.select((F.col("vec_id") - 1).alias("doc_id"), F.col("vec").alias("q_vec"))
+    return d.join(v.select(F.col("vec_id").alias("doc_id"), F.col("vec").alias("d_vec")), "doc_id").join(asked, "doc_id")
+
+
+@query(
+    f"""WITH {_VEC}, x AS (SELECT doc_id, {_UNIT.format("a.e")} AS de, {_UNIT.format("b.e")} AS qe FROM documents JOIN v a ON a.vec_id = doc_id JOIN v b ON b.vec_id = doc_id + 1 WHERE len({_SPACE.format("text")}) BETWEEN 1 AND 70),
+s AS (SELECT q.doc_id AS qid, d.doc_id AS did, round(list_dot_product(q.qe, d.de), 6) AS score FROM x q, x d),
+run AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did) AS rank FROM s), deep AS (SELECT * FROM run WHERE rank <= 20), own AS (SELECT doc_id AS qid, doc_id AS did FROM x),
+{_metric_sql("deep", "own")}, {_LONG},
+n AS (SELECT qid, avg(score) AS neg FROM deep WHERE rank <= 10 AND qid <> did GROUP BY 1), p AS (SELECT score AS pos, neg FROM s LEFT JOIN n USING (qid) WHERE s.qid = s.did)
+SELECT metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM lo GROUP BY 1
+UNION ALL SELECT 'positive_similarity', round(avg(pos), 6), round(stddev_pop(pos), 6) FROM p UNION ALL SELECT 'negative_similarity', round(avg(neg), 6), round(stddev_pop(neg), 6) FROM p
+UNION ALL SELECT 'similarity_diff', round(avg(pos) - avg(neg), 6), NULL FROM p"""
+)
+def short_passages(spark, sf_dir):
+    """Retrieval of short passages by their own queries, with similarity statistics."""
+    pairs = _short_pairs(spark, sf_dir)
+    run = dense.search(pairs.select(F.col("doc_id").alias("vec_id"), F.col("d_vec").alias("vec")), pairs.select(F.col("doc_id").alias("vec_id"), F.col("q_vec").alias("vec")), 20, skip_self=False)
+    return ranking.self_retrieval_report(run, pairs, "doc_id", "q_vec", "d_vec")
+
+
+# -- judgements, losses, files --------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CASE WHEN toxic = 1 THEN 'incorrect' ELSE 'correct' END AS label, quality * 0.5::DOUBLE AS score FROM labels")
+def judge_verdicts_in_words(spark, sf_dir):
+    """Answers with other braces, and braces inside strings, around the object."""
+    body = F.to_json(F.struct(F.when(F.col("toxic") == 1, "INCORRECT").otherwise("Correct").alias("label"), (F.col("quality") * 0.5).alias("score"), F.lit('as {asked} in "}" or {').alias("reason")))
+    payload = F.concat(F.lit('Use {this} and { that: {"note": 1} '), body, F.lit(' {"label": "later"}} or }'))
+    return _table(spark, sf_dir, "labels").select("doc_id", records.verdict(payload).alias("v")).select("doc_id", "v.label", "v.score")
+
+
+@query("SELECT item_id, text AS question, CASE WHEN item_id % 3 = 0 THEN 'a' || item_id || ' OR b' WHEN item_id % 3 = 1 THEN 'only ' || item_id ELSE '' END AS golden FROM benchmark WHERE text IS NOT NULL")
+def qa_payloads(spark, sf_dir):
+    """Questions with several reference answers, a single one, or none."""
+    b = _table(spark, sf_dir, "benchmark").where("text is not null")
+    number = F.col("item_id").cast("string")
+    several = F.when(F.col("item_id") % 3 == 0, F.array(F.concat(F.lit("a"), number), F.lit("b"))).otherwise(F.array().cast("array<string>"))
+    payload = F.to_json(F.struct(F.col("text").alias("question"), several.alias("reference_answers"), F.when(F.col("item_id") % 3 == 1, F.concat(F.lit("only "), number)).alias("reference_answer")))
+    return b.select("item_id", records.qa_payload(payload).alias("p")).select("item_id", "p.question", "p.golden")
+
+
+@query(
+    f"""WITH {_VEC}, r AS (SELECT a.e, b.e AS o, row_number() OVER (ORDER BY {_MD5.format('0', 'a.vec_id')}, a.vec_id) AS at, count(*) OVER () AS n FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 JOIN v c ON c.vec_id = a.vec_id + 2)
+SELECT round(avg(list_cosine_similarity(x.e, x.o)), 6) AS cosine, round(avg(list_cosine_similarity(x.e, y.o)), 6) AS cosine_shuffled, count(*) AS n FROM r x JOIN r y ON y.at = x.at % x.n + 1"""
+)
+def distillation_shuffled(spark, sf_dir):
+    return stats.shuffled_cosine(_triplets(spark, sf_dir), "vec_id", "vec", "pos", 0)
+
+
+@query(
+    _SIM
+    + """, t AS (SELECT *, max(sim * 20.0::DOUBLE) OVER (PARTITION BY batch_id, q) AS top FROM s),
+l AS (SELECT batch_id, q, ln(sum(exp(sim * 20.0::DOUBLE - top))) + max(top) - max(CASE WHEN q = d THEN sim * 20.0::DOUBLE END) AS loss FROM t GROUP BY 1, 2),
+m AS (SELECT batch_id, round(avg(loss), 6) AS mnr FROM l GROUP BY 1), u AS (SELECT batch_id, max(slot) + 1 AS w FROM p WHERE batch_id IN (SELECT batch_id FROM ok) GROUP BY 1),
+k AS (SELECT batch_id, slot, e AS st, o AS te FROM p JOIN u USING (batch_id) UNION ALL SELECT batch_id, slot + w, o, g FROM p JOIN u USING (batch_id)),
+ss AS (SELECT q.batch_id, q.slot AS q, d.slot AS d, round(list_dot_product(q.st, d.st), 6) / 2.0::DOUBLE AS s, round(list_dot_product(q.te, d.te), 6) / 2.0::DOUBLE AS t FROM k q JOIN k d USING (batch_id)),
+z AS (SELECT *, s - ln(sum(exp(s)) OVER w) AS ls, t - ln(sum(exp(t)) OVER w) AS lt FROM ss WINDOW w AS (PARTITION BY batch_id, q)),
+y AS (SELECT batch_id, round(sum(exp(lt) * (lt - ls)) / count(DISTINCT q) * 4.0::DOUBLE, 6) AS kl FROM z GROUP BY 1)
+SELECT batch_id, mnr, kl, round(mnr + 0.5::DOUBLE * kl, 5) AS loss FROM m JOIN y USING (batch_id)"""
+)
+def loss_ranking_distilled(spark, sf_dir):
+    """Ranking loss of (vector, next one) and half the KL to a teacher that is one vector ahead."""
+    return batch_eval.ranking_distilled_loss(_batched(spark, sf_dir), ("vec", "pos"), ("pos", "neg"), 0.5)
+
+
+@query("SELECT doc_id::VARCHAR AS did, md5(trim(coalesce(lang, '') || ' ' || coalesce(text, ''))) AS text FROM documents")
+def corpus_gz(spark, sf_dir):
+    """A corpus in compressed lines."""
+    at = f"{scratch(spark)}/corpus.jsonl.gz"
+    _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("_id"), F.col("lang").alias("title"), "text").write.option("compression", "gzip").json(at)
+    return readers.read_corpus(spark, at).select("did", F.md5("text").alias("text"))

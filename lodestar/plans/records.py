@@ -68,9 +68,11 @@ def grouped_ids(spark, sf_dir):
     return records.grouped_ids(_vectors(spark, sf_dir).withColumn("item", F.col("vec_id").cast("string")), "label", "item").select("label", F.array_join("items", ",").alias("items"))
 
 
-@query("SELECT i AS epoch, round(0.2::DOUBLE + 0.6::DOUBLE * least(i / 8.0::DOUBLE, 1), 6) AS weight FROM range(12) t(i)")
+@query("SELECT event_id, event_id % 12 AS epoch, round(0.2::DOUBLE + 0.6::DOUBLE * least((event_id % 12) / 8.0::DOUBLE, 1), 6) AS weight FROM events")
 def curriculum_weights(spark, sf_dir):
-    return spark.range(12).select(F.col("id").alias("epoch"), F.round(records.curriculum(F.col("id"), 0.2, 0.8, 8), 6).alias("weight"))
+    """Every event's weight in the epoch it falls into."""
+    e = _table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 12).alias("epoch"))
+    return e.select("event_id", "epoch", F.round(records.curriculum(F.col("epoch"), 0.2, 0.8, 8), 6).alias("weight"))
 
 
 _GROUPS = "SELECT conv_id, list(text ORDER BY turn) FILTER (trim(coalesce(text, '')) <> '') AS p, list(text ORDER BY turn) FILTER (trim(coalesce(text, '')) <> '' AND role = 'assistant') AS s FROM conversations GROUP BY 1"
@@ -282,10 +284,11 @@ def csv_round_trip(spark, sf_dir):
     return readers.read_records(spark, at, "label BIGINT, vec_id BIGINT")
 
 
-@query("SELECT * FROM (VALUES (1.0::DOUBLE, 0.5::DOUBLE), (2.0, 0.25), (3.0, NULL)) t(step, loss)")
+@query("SELECT event_id::DOUBLE AS step, CASE WHEN event_id % 10 <> 0 THEN value END AS loss FROM events")
 def curve_round_trip(spark, sf_dir):
+    """The events' values as a curve in a CSV, some of them missing."""
     at = scratch(spark)
-    sinks.write_csv(spark.createDataFrame([(1, 0.5), (2, 0.25), (3, None)], "step int, loss double"), at)
+    sinks.write_csv(_table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), F.when(F.col("event_id") % 10 != 0, F.col("value")).alias("loss")), at)
     return readers.read_curve(spark, at)
 
 
@@ -411,9 +414,12 @@ def text_rules(spark, sf_dir):
     )
 
 
-@query("SELECT 'd' AS dataset, 'loss' AS metric, 'r' AS run_id, 'step_' || i AS split, 1 / (i + 1)::DOUBLE AS value FROM range(9) t(i)")
+@query(
+    "SELECT 'd' AS dataset, metric, 'r' AS run_id, 'step_' || event_id AS split, value FROM (SELECT event_id, 'loss' AS metric, value FROM events UNION ALL SELECT event_id, 'gain', CASE WHEN value > 1 THEN -value END FROM events) WHERE value IS NOT NULL"
+)
 def history_rows(spark, sf_dir):
-    h = spark.range(9).select(F.col("id").alias("step"), F.lit(0).alias("epoch"), (F.lit(1.0) / (F.col("id") + 1)).alias("loss"))
+    """The events as a history of two values; one of them is often missing."""
+    h = _table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), F.lit(0).alias("epoch"), F.col("value").alias("loss"), F.when(F.col("value") > 1, -F.col("value")).alias("gain"))
     return sinks.history_rows(h, "d", "r")
 
 
