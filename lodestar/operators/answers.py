@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lodestar.functions import text as T
+from lodestar.operators.mixing import _names
 
 ERROR = "error"
 
@@ -37,10 +38,14 @@ def char_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def simple_metrics(df: DataFrame, reference: str, candidate: str) -> DataFrame:
-    """Per row jaccard, word_overlap, length_ratio; null where either text is blank."""
-    r, c = T.space_tokens(reference), T.space_tokens(candidate)
-    both = ~T.is_blank(reference) & ~T.is_blank(candidate)
-    return df.withColumns({"jaccard": F.when(both, T.jaccard(r, c)), "word_overlap": F.when(both, T.overlap(r, c)), "length_ratio": F.when(both, T.length_ratio(r, c))})
+    """Per row jaccard, word_overlap, length_ratio; null where either text is blank. Each text is cut into tokens once."""
+    r_, c_, n_, rd_, cd_ = _names(df, "tokens_r", "tokens_c", "common", "distinct_r", "distinct_c", made=("jaccard", "word_overlap", "length_ratio"))
+    rows = df.withColumns({r_: T.space_tokens(reference), c_: T.space_tokens(candidate)})  # a text without a token is blank
+    rows = rows.withColumns({rd_: F.array_distinct(r_), cd_: F.array_distinct(c_)}).withColumn(n_, F.size(F.array_intersect(rd_, cd_)))
+    both = (F.size(r_) > 0) & (F.size(c_) > 0)
+    common, r, c = F.col(n_), F.size(rd_), F.size(cd_)
+    made = {"jaccard": common / (r + c - common), "word_overlap": common / r, "length_ratio": F.size(c_) / F.size(r_)}
+    return rows.withColumns({k: F.when(both, v) for k, v in made.items()}).drop(r_, c_, n_, rd_, cd_)
 
 
 def simple_means(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
