@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
 from lodestar.functions import vector as V
-from lodestar.operators import align, batch_eval, dense, ranking, records, sampling, stats
-from lodestar.plans.catalog import _SIM, _SPACE, _VEC, _batched, _metric_sql, _table, _triplets, _vectors, _LONG, query
+from lodestar.operators import align, batch_eval, dense, evaluation, ranking, records, sampling, stats
+from lodestar.plans.catalog import _LONG, _QRELS, _SIM, _SPACE, _TOKENS, _VEC, _batched, _metric_sql, _table, _triplets, _vectors, contains_qrels, query
 from lodestar.sources import readers
 from lodestar.sources.sinks import scratch
 from lodestar.sources.teacher import TeacherStore, concatenated, write_store
@@ -220,3 +220,56 @@ def corpus_gz(spark, sf_dir):
     at = f"{scratch(spark)}/corpus.jsonl.gz"
     _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("_id"), F.col("lang").alias("title"), "text").write.option("compression", "gzip").json(at)
     return readers.read_corpus(spark, at).select("did", F.md5("text").alias("text"))
+
+
+# -- collections ------------------------------------------------------------------------------------
+
+
+def _collections(spark, sf_dir) -> dict:
+    """Documents in two folders by the parity of their ids, each with all items as queries; a document that contains an item is relevant."""
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    judged = contains_qrels(spark, sf_dir).join(docs.select(F.col("doc_id").alias("did"), (F.col("doc_id") % 2).alias("part")), "did")
+    judged.write.partitionBy("part").parquet(at := scratch(spark))
+    judged = spark.read.parquet(at)
+    out = {}
+    for part, name in enumerate(("even", "odd")):
+        folder = scratch(spark)
+        docs.where(F.col("doc_id") % 2 == part).select(F.col("doc_id").cast("string").alias("_id"), F.col("lang").alias("title"), "text").write.json(f"{folder}/corpus.jsonl")
+        items.select(F.col("item_id").cast("string").alias("_id"), "text").write.json(f"{folder}/queries.jsonl")
+        lines = judged.where(F.col("part") == part).select(F.concat_ws("\t", "qid", "did", F.lit("1")).alias("value"))
+        lines.unionByName(spark.range(1).select(F.lit("query-id\tcorpus-id\tscore").alias("value"))).write.text(f"{folder}/qrels/test.tsv")
+        out[name] = readers.read_collection(spark, folder)
+    return out
+
+
+_TEXT = "trim(concat_ws(' ', nullif(trim(coalesce(lang, '')), ''), nullif(trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '')))"
+_TWO = f"""WITH tok AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS ds, doc_id::VARCHAR AS did, {_TOKENS.format(_TEXT)} AS t FROM documents),
+st AS (SELECT ds, count(*) AS n, CASE WHEN sum(len(t)) > 0 THEN avg(len(t)) ELSE 1 END AS avgdl FROM tok GROUP BY 1),
+tf AS (SELECT ds, did, dl, term, count(*) AS tf FROM (SELECT ds, did, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY ALL),
+idf AS (SELECT ds, term, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf, avgdl FROM (SELECT ds, term, count(*) AS df FROM tf GROUP BY 1, 2) JOIN st USING (ds)),
+q AS (SELECT DISTINCT qid, unnest(t) AS term FROM (SELECT item_id::VARCHAR AS qid, {_TOKENS.format("text")} AS t FROM benchmark)),
+sc AS (SELECT ds, qid, did, round(sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM q JOIN tf USING (term) JOIN idf USING (ds, term) GROUP BY 1, 2, 3),
+deep AS (SELECT ds || ':' || qid AS qid, did, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY ds, qid ORDER BY score DESC, did) AS rank FROM sc) WHERE rank <= 20),
+{_QRELS}, judged AS (SELECT CASE WHEN did % 2 = 0 THEN 'even:' ELSE 'odd:' END || qid AS qid, did::VARCHAR AS did FROM qrels)"""
+
+
+@query(
+    f"""{_TWO}, {_metric_sql("deep", "judged")}, {_LONG}, m AS (SELECT split_part(qid, ':', 1) AS dataset, metric AS name, avg(value) AS value, count(*) AS n FROM lo GROUP BY 1, 2),
+u AS (SELECT * FROM m UNION ALL SELECT 'average', name, avg(value), count(*) FROM m GROUP BY name)
+SELECT dataset, split_part(name, '@', 1) AS metric, try_cast(nullif(split_part(name, '@', 2), '') AS INTEGER) AS k, round(value, 6) AS value, n, 'bm25' AS run_id, 'test' AS split, 'bf21a9e8fb' AS encoder_fingerprint FROM u"""
+)
+def collections_report(spark, sf_dir):
+    """BM25 over two collections with counts of their own: every metric of each, and the average."""
+    run, qrels = evaluation.runs(_collections(spark, sf_dir), evaluation.bm25)
+    return evaluation.report(run, qrels, "bm25")
+
+
+@query(
+    f"""{_TWO} SELECT split_part(qid, ':', 1) AS dataset, split_part(qid, ':', 2) AS qid, string_agg(did, ',' ORDER BY rank) AS results,
+{", ".join(f'bool_or(rank <= {k} AND (qid, did) IN (SELECT qid, did FROM judged)) AS hit_{k}' for k in (1, 5, 10))} FROM deep d GROUP BY d.qid"""
+)
+def collections_details(spark, sf_dir):
+    """The first documents of every query in each collection, and whether a relevant one is among them."""
+    run, qrels = evaluation.runs(_collections(spark, sf_dir), evaluation.bm25)
+    rows = evaluation.details(run, qrels)
+    return rows.select("dataset", "qid", F.array_join(F.transform("results", lambda r: r["did"]), ",").alias("results"), *[F.col(f"`hit@{k}`").alias(f"hit_{k}") for k in (1, 5, 10)])
