@@ -2,14 +2,15 @@
 
 Postings are inverted where the documents are: a block is the index of some DOCS documents of one input partition, a row per
 term with its entries and the greatest weight among them. Building shuffles nothing, and no row or task holds the whole
-list of a common term. `search` works in three steps:
+list of a common term. `search` works in two steps:
 
 * a floor for every query: its rarest terms (of common ones, a few blocks) give partial scores, whose k-th greatest is one;
-* terms that even together stay well below the floor can't lift a document alone. The others' blocks are read, unless the greatest
-  weights of a query's terms in a block, with all it can gain from the left-out terms, stay below the floor;
-* only documents that can still reach the floor get the left-out terms' weights, from the blocks that hold them.
+* each asked term's row of a block goes to the block's task once, whatever the number of queries. There a query is skipped if
+  the greatest weights of its terms stay below its floor; else its documents come from the terms that can lift one over
+  half of the floor, and the other terms are added only if one of those can still reach it. A block answers with k documents
+  a query at most, none below the floor.
 
-All three are equi-joins on the term and the block. The result equals scoring every hit (`scores`).
+The result equals scoring every hit (`scores`).
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,8 +31,8 @@ from lodestar.sources.sinks import kept, scratch
 K1, B = 1.5, 0.75
 #: Documents and tokens of a block at most, about; entries that a query's floor is taken from, per wanted row.
 DOCS, TOKENS, FIRST = 4096, 2_000_000, 50
-#: Ways in which the blocks of common terms are dealt.
-SLOTS = 4096
+#: Ways in which the blocks of common terms are dealt; queries that are scored together.
+SLOTS, SALT, QUERIES = 4096, 64, 1000
 #: Terms that together add less than this share of the floor are left for later.
 LATE = 0.5
 #: Scores are rounded to 6 places before they are ranked; bounds give way by more than that.
@@ -52,7 +54,7 @@ class Index:
     @property
     def postings(self) -> DataFrame:
         """(did, term, tf, dl)"""
-        return self.blocks.select("term", F.explode("entries").alias("e")).select("e.did", "term", "e.tf", "e.dl")
+        return self.blocks.select("term", F.explode("entries").alias("e")).select("e.did", "term", F.col("e.tf").cast("long").alias("tf"), F.col("e.dl").cast("long").alias("dl"))
 
     def save(self, path: str) -> None:
         spark = self.blocks.sparkSession
@@ -86,7 +88,7 @@ def _inverted(ids: pa.Array, lists: pa.ListArray, avgdl: float, block: int) -> p
     first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
     weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
     offsets = np.r_[first, len(term)].astype(np.int32)
-    entries = pa.StructArray.from_arrays([ids.take(pa.array(doc)), pa.array(tf.astype(np.int64)), pa.array(dl[doc].astype(np.int64))], ["did", "tf", "dl"])
+    entries = pa.StructArray.from_arrays([ids.take(pa.array(doc)), pa.array(tf.astype(np.int32)), pa.array(dl[doc].astype(np.int32))], ["did", "tf", "dl"])
     most = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
     columns = [words.dictionary.take(pa.array(term[first])), pa.array(np.full(len(first), block, np.int64)), pa.array(most), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), entries)]
     return pa.RecordBatch.from_arrays(columns, ["term", "block", "most", "n", "entries"])
@@ -119,7 +121,7 @@ def _blocks(tokens: DataFrame, avgdl: float, docs: int) -> DataFrame:
         if ids:
             yield from out()
 
-    return tokens.select("did", "t").mapInArrow(run, f"term string, block long, most double, n long, entries array<struct<did: {did}, tf: long, dl: long>>")
+    return tokens.select("did", "t").mapInArrow(run, f"term string, block long, most double, n long, entries array<struct<did: {did}, tf: int, dl: int>>")
 
 
 def build(docs: DataFrame, did: str, text: str, block: int = DOCS, path: str | None = None) -> Index:
@@ -165,26 +167,18 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _weighed(hits: DataFrame, avgdl: float) -> DataFrame:
-    return hits.select("qid", "block", "e.did", (F.col("idf") * _weight(F.col("e.tf"), F.col("e.dl"), F.lit(avgdl))).alias("s"))
-
-
-def _entries(index: Index, wanted: DataFrame, avgdl: float) -> DataFrame:
-    """(qid, block, did, s): an entry's weight times idf, for wanted (qid, term, idf, block) and, if it has `only`, those documents alone."""
-    wanted = kept(wanted)
-    hits = index.blocks.select("term", "block", "entries").join(_small(wanted), ["term", "block"])
-    entries = F.filter("entries", lambda e: F.array_contains("only", e["did"])) if "only" in wanted.columns else F.col("entries")
-    return _weighed(hits.select("qid", "block", "idf", F.explode(entries).alias("e")), avgdl)
+    return hits.select("qid", "e.did", (F.col("idf") * _weight(F.col("e.tf"), F.col("e.dl"), F.lit(avgdl))).alias("s"))
 
 
 def _some_entries(index: Index, wanted: DataFrame, avgdl: float) -> DataFrame:
-    """As `_entries` for wanted (qid, term, idf, slots): blocks of the term's first so many slots, or all of them."""
+    """(qid, did, s): an entry's weight times idf, for wanted (qid, term, idf, slots): blocks of the term's first so many slots, or all of them."""
     wanted = kept(wanted)
-    blocks = index.blocks.select("term", "block", F.pmod(F.xxhash64("block"), F.lit(SLOTS)).cast("int").alias("slot"), "entries")
+    blocks = index.blocks.select("term", F.pmod(F.xxhash64("block"), F.lit(SLOTS)).cast("int").alias("slot"), "entries")
     rare, common = wanted.where(F.col("slots") >= SLOTS), wanted.where(F.col("slots") < SLOTS)
-    hits = blocks.join(_small(rare), "term").select("qid", "block", "idf", "entries")
+    hits = blocks.join(_small(rare), "term").select("qid", "idf", "entries")
     spread = common.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
-    hits = hits.union(blocks.join(_small(spread), ["term", "slot"]).select("qid", "block", "idf", "entries"))
-    return _weighed(hits.select("qid", "block", "idf", F.explode("entries").alias("e")), avgdl)
+    hits = hits.union(blocks.join(_small(spread), ["term", "slot"]).select("qid", "idf", "entries"))
+    return _weighed(hits.select("qid", "idf", F.explode("entries").alias("e")), avgdl)
 
 
 def asked_terms(index: Index, queries: DataFrame, qid: str, text: str) -> DataFrame:
@@ -205,6 +199,65 @@ def floors(index: Index, asked: DataFrame, k: int, avgdl: float, without: DataFr
     return top_k(part, k).where(F.col("rank") == k).select("qid", (F.col("score") - SLACK).alias("least"))
 
 
+def _order(values: pa.Array) -> np.ndarray:
+    """Each value's place among all of them in ascending order."""
+    out = np.empty(len(values), np.int64)
+    out[pc.sort_indices(values).to_numpy()] = np.arange(len(values))
+    return out
+
+
+def scored_block(t: pa.Table, avgdl: float) -> tuple[pa.Table, int]:
+    """(qid, did, score) of one block for some queries, `want` a query at most and none below `least`; and the entries looked at.
+
+    t: (most, entries, asks), a row per term; asks: (qid, idf, late, least, rest, want) of the queries that have the term.
+    """
+    entries, asks = (t.column(c).combine_chunks() for c in ("entries", "asks"))
+    entries, asks = (pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x for x in (entries, asks))
+    at, n_asks = entries.offsets.to_numpy(), np.diff(asks.offsets.to_numpy())
+    flat, ask = entries.flatten(), asks.flatten()
+    at = at - at[0]
+    did, qid = flat.field("did").dictionary_encode(), ask.field("qid").dictionary_encode()
+    doc, rank = did.indices.to_numpy(zero_copy_only=False), _order(did.dictionary)
+    tf, dl = flat.field("tf").to_numpy(zero_copy_only=False), flat.field("dl").to_numpy(zero_copy_only=False)
+    weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+    most = t.column("most").to_numpy()
+    code = qid.indices.to_numpy(zero_copy_only=False)
+    term = np.repeat(np.arange(t.num_rows), n_asks)
+    idf, late, least, rest, want = (ask.field(c).to_numpy(zero_copy_only=False) for c in ("idf", "late", "least", "rest", "want"))
+    order = np.argsort(code, kind="stable")
+    cuts = np.searchsorted(code[order], np.arange(len(qid.dictionary) + 1))
+    q_out, d_out, s_out, looked = [], [], [], 0
+    for q in range(len(qid.dictionary)):
+        mine = order[cuts[q] : cuts[q + 1]]
+        floor, more, k = least[mine[0]], rest[mine[0]], want[mine[0]]
+        early, after = mine[~late[mine]], mine[late[mine]]
+        if not len(early) or (idf[early] * most[term[early]]).sum() + more < floor:
+            continue
+        total = np.zeros(len(rank))
+        for a in early:
+            lo, hi = at[term[a]], at[term[a] + 1]
+            total[doc[lo:hi]] += idf[a] * weight[lo:hi]
+            looked += hi - lo
+        may = np.flatnonzero(total > 0)
+        if len(may) > k:  # k documents of this block have so much without the other terms
+            floor = max(floor, np.partition(total[may], len(may) - k)[len(may) - k] - SLACK)
+        may = may[total[may] + more >= floor]
+        if len(may):
+            for a in after:
+                lo, hi = at[term[a]], at[term[a] + 1]
+                total[doc[lo:hi]] += idf[a] * weight[lo:hi]
+                looked += hi - lo
+        score = np.round(total[may], 6)
+        best = np.lexsort((rank[may], -score))[:k]
+        best = best[score[best] >= floor]
+        q_out.append(np.full(len(best), q))
+        d_out.append(may[best])
+        s_out.append(score[best])
+    whole = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+    out = pa.table({"qid": qid.dictionary.take(pa.array(whole(q_out, np.int64))), "did": did.dictionary.take(pa.array(whole(d_out, np.int64))), "score": pa.array(whole(s_out, np.float64))})
+    return out, looked
+
+
 def search(index: Index, queries: DataFrame, qid: str, text: str, k: int, without: DataFrame | None = None) -> DataFrame:
     """(qid, did, score, rank) of the k best documents with a term of the query; pairs (qid, did) of `without` are left out before ranking."""
     avgdl = index.stats.first()["avgdl"]
@@ -213,23 +266,30 @@ def search(index: Index, queries: DataFrame, qid: str, text: str, k: int, withou
         every = scores(index, queries, qid, text)
         return top_k(every if without is None else every.join(without, ["qid", "did"], "left_anti"), k)
     asked = kept(asked_terms(index, queries, qid, text))
+    few = asked.limit(SMALL + 1).count() <= SMALL
     least = kept(floors(index, asked, k, avgdl, without))
     # terms by what they can add: a tail that stays well below the floor as a whole is left for later
     tail = F.sum("up").over(Window.partitionBy("qid").orderBy("up", F.desc("term")))
     parted = asked.join(_small(least), "qid", "left").withColumn("least", F.coalesce("least", F.lit(-1.0))).withColumn("late", tail < LATE * F.col("least"))
-    parted = kept(parted)
-    late = parted.groupBy("qid").agg(F.coalesce(F.sum(F.when(F.col("late"), F.col("up"))), F.lit(0.0)).alias("rest"), F.first("least").alias("least"))
-    peaks = index.blocks.select("term", "block", "most").join(_small(parted.where(~F.col("late")).select("qid", "term", "idf")), "term")
-    peaks = peaks.withColumn("peak", F.sum(F.col("idf") * F.col("most")).over(Window.partitionBy("qid", "block")))
-    wanted = peaks.join(_small(late), "qid").where(F.col("peak") + F.col("rest") >= F.col("least")).select("qid", "term", "idf", "block")
-    part = _entries(index, wanted, avgdl).groupBy("qid", "block", "did").agg(F.sum("s").alias("s"))
+    parted = parted.withColumn("rest", F.coalesce(F.sum(F.when(F.col("late"), F.col("up"))).over(Window.partitionBy("qid")), F.lit(0.0)))
+    want = F.lit(k)
+    if without is not None:  # as many more as may be taken away
+        parted = parted.join(_small(without.groupBy("qid").agg(F.count("*").alias("gone"))), "qid", "left")
+        want = F.lit(k) + F.coalesce("gone", F.lit(0))
+    chunk = F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-queries.count() // QUERIES)))).cast("int")
+    asks = parted.groupBy(chunk.alias("chunk"), "term").agg(F.collect_list(F.struct("qid", "idf", "late", "least", "rest", want.cast("long").alias("want"))).alias("asks"))
+    rows = index.blocks.select("term", "block", "most", "entries")
+    if few:
+        rows = rows.join(F.broadcast(asks), "term")
+    else:
+        salted = asks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALT)).cast("int")).join(salted, ["term", "salt"])
+    q, d = asked.schema["qid"].dataType.simpleString(), rows.schema["entries"].dataType.elementType["did"].dataType.simpleString()
+
+    def run(t: pa.Table) -> pa.Table:
+        return scored_block(t, avgdl)[0]
+
+    found = rows.select("block", "chunk", "most", "entries", "asks").groupBy("block", "chunk").applyInArrow(run, f"qid {q}, did {d}, score double")
     if without is not None:
-        part = part.join(without, ["qid", "did"], "left_anti")
-    part = kept(part.join(_small(late), "qid").where(F.col("s") + F.col("rest") >= F.col("least")))
-    # the floor again, from all early terms: few documents can still be among the best
-    again = top_k(part, k, score="s").where(F.col("rank") == k).select("qid", (F.col("s") - SLACK).alias("floor"))
-    may = kept(part.join(_small(again), "qid", "left").where(F.col("floor").isNull() | (F.col("s") + F.col("rest") >= F.col("floor"))).select("qid", "block", "did", "s"))
-    places = may.groupBy("qid", "block").agg(F.collect_set("did").alias("only"))
-    more = _entries(index, places.join(parted.where("late").select("qid", "term", "idf"), "qid"), avgdl)
-    both = may.select("qid", "did", "s").union(more.select("qid", "did", "s"))
-    return top_k(both.groupBy("qid", "did").agg(F.round(F.sum("s"), 6).alias("score")), k)
+        found = found.join(without, ["qid", "did"], "left_anti")
+    return top_k(found, k)
