@@ -232,3 +232,91 @@ def test_variants_odd_rows(spark, messy, nothing):
     got = sorted((r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in variants.spelling_variants(messy).collect())
     assert got == variants_by_hand(words_by_hand([(r.doc_id, r.text) for r in messy.collect()]))
     assert variants.spelling_variants(nothing).count() == 0
+
+
+# -- licenses ----------------------------------------------------------------------------------
+
+
+def names_in(text: str) -> list[str]:
+    from lodestar.llm import kernel, licenses
+
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    return [scanner.templates[t][0] for _, place, word, _, _ in scanner.hits(*kernel.joined([text.encode()])) for t, _, _ in scanner.scan(place.tolist(), word.tolist())]
+
+
+def template(name: str, i: int = -2) -> str:
+    from lodestar.llm import licenses
+
+    return licenses.TEMPLATES[name][i]
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        (lambda: template("MIT-0"), ["MIT-0"]),
+        (lambda: template("MIT"), ["MIT"]),
+        (lambda: template("BSD-4-Clause").replace("the organization", "Jane Doe and friends"), ["BSD-4-Clause"]),
+        (lambda: template("BSD-3-Clause"), ["BSD-3-Clause"]),
+        (lambda: template("BSD-2-Clause"), ["BSD-2-Clause"]),
+        (lambda: template("X11"), ["X11"]),
+        (lambda: template("ISC"), ["ISC"]),
+        (lambda: template("0BSD"), ["0BSD"]),
+        (lambda: template("Zlib"), ["Zlib"]),
+        (lambda: "This work is licensed under the GNU General Public License, version 2 or version 3.", ["GPL-2.0-only OR GPL-3.0-only"]),
+        (lambda: "This work is licensed under the GNU General Public License, version 2 or 3.", ["GPL-2.0-only OR GPL-3.0-only"]),
+        (lambda: "This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0-only"]),
+        (lambda: "This work is licensed under the GNU General Public License, version 2 or any later version.", ["GPL-2.0-or-later"]),
+        (lambda: "// SPDX-License-Identifier: Apache-2.0\nint x;", ["Apache-2.0"]),
+        (lambda: "SPDX-License-Identifier: MIT-0", ["MIT-0"]),
+        (lambda: "SPDX-License-Identifier: CC-BY-SA-2.5", ["CC-BY-SA-2.5"]),
+        (lambda: "This work is licensed under a Creative Commons Attribution 2.0 Generic License.", ["CC-BY-2.0"]),
+        (lambda: "Licensed under CC BY 2.5.", ["CC-BY-2.5"]),
+        (lambda: "The tool is licensed under the GPLv3.", ["GPL-3.0-only"]),
+        (lambda: "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", ["LGPL-3.0-only"]),
+        (lambda: template("MPL-1.1"), ["MPL-1.1"]),
+        (lambda: template("EPL-2.0", 0), ["EPL-2.0"]),
+        (lambda: "Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]),
+        (lambda: "Not released under the MIT License.", []),
+        (lambda: "Released under the MIT License.", ["MIT"]),
+    ],
+)
+def test_licenses_by_their_clauses(text, names):
+    assert names_in(text()) == names
+    assert names_in(f"Some words before it.\n{text()}\nand some after it") == names
+
+
+def plain_alignment(a: list, b: list) -> int:
+    """The number of words aligned by the rule: anchors unique to both, the longest increasing run of them, then the gaps."""
+    if not a or not b:
+        return 0
+    own = [w for w in a if a.count(w) == 1 and b.count(w) == 1]
+    if not own:
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        a, b = a[n:], b[n:]
+        m = 0
+        while m < min(len(a), len(b)) and a[-1 - m] == b[-1 - m]:
+            m += 1
+        return n + m
+    at = [b.index(w) for w in own]
+    longest = [1] * len(own)
+    for i in range(len(own)):
+        longest[i] = 1 + max((longest[j] for j in range(i) if at[j] < at[i]), default=0)
+    return max(longest)
+
+
+def test_alignment_equals_the_rule():
+    from lodestar.llm import licenses
+
+    rng = random.Random(8)
+    for _ in range(400):
+        a, b = ([rng.randrange(rng.choice([4, 12, 40])) for _ in range(rng.randint(0, 25))] for _ in range(2))
+        pairs = licenses.align(a, b)
+        assert all(a[i] == b[j] for i, j in pairs)
+        assert all(i < i2 and j < j2 for (i, j), (i2, j2) in zip(pairs, pairs[1:], strict=False))
+        unique = {w for w in a if a.count(w) == 1 and b.count(w) == 1}
+        if unique:  # the anchors of the first step are a longest increasing run
+            assert sum(a[i] in unique for i, _ in pairs) >= plain_alignment(a, b)
+        else:
+            assert len(pairs) == plain_alignment(a, b)
