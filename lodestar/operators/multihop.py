@@ -9,20 +9,23 @@ a score column per retriever:
   of the pool's words, a repeated question word counts each time;
 * vector columns: cosine of given vectors (0 for a zero vector); a projector goes over both sides before.
 
-Ranks go by score downwards, ties by id. A pool is never larger than what one question is asked against; hot questions'
-words are pre-aggregated by (question, word).
+Ranks go by score downwards, ties by id. A pool is never larger than what one question is asked against, so it is one group.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
 from lodestar.functions import vector as V
-from lodestar.operators.lexical import B, K1, idf
+from lodestar.operators.lexical import B, K1
+from lodestar.sources.sinks import kept
 
 EPSILON = 0.25
 #: Reciprocal rank fusion: 1 / (FUSED + rank).
@@ -30,53 +33,52 @@ FUSED = 60
 KS = (1, 2, 3, 5, 10, 20)
 
 
-def _counts(pairs: DataFrame, tokens: str) -> tuple[DataFrame, DataFrame]:
-    """(qid, did, term, tf, dl) and per pool (qid, n, avgdl)."""
-    sized = pairs.select("qid", "did", F.col(tokens).alias("t"), F.size(tokens).alias("dl"))
-    whole = sized.groupBy("qid").agg(F.count("*").alias("n"), F.when(F.sum("dl") > 0, F.avg("dl")).otherwise(F.lit(1.0)).alias("avgdl"))
-    return sized.select("qid", "did", "dl", F.explode("t").alias("term")).groupBy("qid", "did", "dl", "term").agg(F.count("*").alias("tf")), whole
-
-
-def _weighted(tf: DataFrame, asked: DataFrame, weights: DataFrame, out: str) -> DataFrame:
-    """(qid, did, out) for asked (qid, term, times) and weights (qid, term, idf, avgdl)."""
-    hits = tf.join(asked, ["qid", "term"]).join(weights, ["qid", "term"])
-    w = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("qid", "did").agg(F.round(F.sum(w), 6).alias(out))
-
-
-def _asked(pairs: DataFrame, tokens: Column) -> DataFrame:
-    """(qid, term, times) of the questions."""
-    return pairs.groupBy("qid").agg(F.first("question").alias("question")).select("qid", F.explode(tokens).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-
-
-def bm25(pairs: DataFrame) -> DataFrame:
-    tf, whole = _counts(pairs.withColumn("words", T.word_tokens(F.col("text"))), "words")
-    df = tf.groupBy("qid", "term").agg(F.count("*").alias("df")).join(whole, "qid")
-    weights = df.select("qid", "term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
-    return _weighted(tf, _asked(pairs, T.word_tokens(F.col("question"))).withColumn("times", F.lit(1)), weights, "bm25")
-
-
-def okapi(pairs: DataFrame) -> DataFrame:
-    tf, whole = _counts(pairs.withColumn("words", T.space_tokens(F.col("text"))), "words")
-    df = tf.groupBy("qid", "term").agg(F.count("*").alias("df")).join(whole, "qid")
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.groupBy("qid").agg(F.avg("raw").alias("mean"))
-    weights = raw.join(mean, "qid").select("qid", "term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
-    return _weighted(tf, _asked(pairs, T.space_tokens(F.col("question"))), weights, "okapi")
-
-
-def cosines(pairs: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
-    """(qid, did, one column per name): cosine of a question's and a passage's vector column."""
-    return pairs.select("qid", "did", *[F.round(V.cosine(F.col(q), F.col(d)), 6).alias(name) for name, (q, d) in columns.items()])
+def _scores(asked: list[str], docs: list[list[str]], okapi: bool) -> np.ndarray:
+    """BM25 of one question for its pool, with the pool's own counts."""
+    n = len(docs)
+    length = np.array([len(d) for d in docs], np.float64)
+    mean = length.mean() if n and length.sum() else 1.0
+    tf = [Counter(d) for d in docs]
+    df = Counter(w for c in tf for w in c)
+    out = np.zeros(n)
+    floor = EPSILON * float(np.mean([np.log(n - c + 0.5) - np.log(c + 0.5) for c in df.values()])) if okapi and df else 0.0
+    for w, times in Counter(asked).items():
+        c = df.get(w, 0)
+        if not c:
+            continue
+        if okapi:
+            weight = np.log(n - c + 0.5) - np.log(c + 0.5)
+            weight = times * (floor if weight < 0 else weight)
+        else:
+            weight = np.log(1 + (n - c + 0.5) / (c + 0.5))
+        f = np.array([x[w] for x in tf], np.float64)
+        out += weight * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean))
+    return np.round(out, 6) + 0.0
 
 
 def scored(pairs: DataFrame, vectors: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """pairs: one row per question and candidate, (qid, did, question, text, vector columns). (qid, did, bm25, okapi, and a column per
-    entry of `vectors`); a pair without a common word scores 0."""
-    out = cosines(pairs, vectors or {})
-    for name, part in (("bm25", bm25(pairs)), ("okapi", okapi(pairs))):
-        out = out.join(part, ["qid", "did"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
-    return out.select("qid", "did", "bm25", "okapi", *(vectors or {}))
+    entry of `vectors`); a pair without a common word scores 0.
+
+    A pool is one group of one shuffle, which moves its texts once; cosines are computed before it.
+    """
+    made = {name: F.round(V.cosine(F.col(q), F.col(d)), 6) for name, (q, d) in (vectors or {}).items()}
+    rows = pairs.select("qid", "did", F.coalesce("question", F.lit("")).alias("question"), F.coalesce("text", F.lit("")).alias("text"), *[c.alias(f"v_{n}") for n, c in made.items()])
+    # the question's tokens stand in its first row only
+    first = F.row_number().over(Window.partitionBy("qid").orderBy("did")) == 1
+    rows = rows.select("qid", "did", F.when(first, F.col("question")).alias("question"), "text", *[f"v_{n}" for n in made])
+    rows = rows.select("qid", "did", T.word_tokens(F.col("question")).alias("q_words"), T.space_tokens(F.col("question")).alias("q_pieces"), T.word_tokens(F.col("text")).alias("words"), T.space_tokens(F.col("text")).alias("pieces"), *[f"v_{n}" for n in made])
+    names = list(made)
+    of = "".join(f", `{n}` double" for n in names)
+    q, d = (rows.schema[c].dataType.simpleString() for c in ("qid", "did"))
+
+    def run(t: pa.Table) -> pa.Table:
+        asked = [max((x or [] for x in t.column(c).to_pylist()), key=len) for c in ("q_words", "q_pieces")]
+        words, pieces = (t.column(c).to_pylist() for c in ("words", "pieces"))
+        columns = {"qid": t.column("qid"), "did": t.column("did"), "bm25": pa.array(_scores(asked[0], words, False)), "okapi": pa.array(_scores(asked[1], pieces, True))}
+        return pa.table(columns | {n: t.column(f"v_{n}") for n in names})
+
+    return kept(rows.groupBy("qid").applyInArrow(run, f"qid {q}, did {d}, bm25 double, okapi double{of}"))
 
 
 def ranked(scores: DataFrame, methods: list[str]) -> DataFrame:
