@@ -8,8 +8,10 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.operators import answers, dense, lexical, mixing, models, negatives, ranking
+from lodestar.operators import answers, clusters, dense, evaluation, lexical, mixing, models, negatives, ranking, sampling
 from lodestar.sources import readers, sinks
+from lodestar.sources.teacher import encoded_store
+from lodestar.streaming.runs import RunBoard
 
 
 def session(name: str = "lodestar") -> SparkSession:
@@ -31,6 +33,10 @@ def build_index(spark, a) -> None:
         lexical.build(rows, a.id, a.text, path=a.output)
         return
     vectors = models.encode(rows.select(a.id, a.text), a.text, a.encoder).select(F.col(a.id).alias("id"), "vec")
+    if a.kind == "ivf":
+        numbered = vectors.select(F.col("id").cast("long").alias("vec_id"), "vec")
+        clusters.build(numbered, lists=a.lists or max(1, min(100, numbered.count() // 10))).save(a.output)
+        return
     sinks.write_index(mixing.numbered(vectors, "id"), a.output, encoder=a.encoder, text_col=a.text, id_col=a.id)
 
 
@@ -46,6 +52,37 @@ def evaluate_collection(spark, a) -> None:
     sinks.write_metrics(ranking.means(ranking.per_query(run, qrels)), a.output, a.kind, a.folder.rstrip("/").rpartition("/")[2], a.kind, a.split)
 
 
+def evaluate_collections(spark, a) -> None:
+    """Rows of every collection and their average as CSV, each query's details as JSON lines beside them."""
+    found = {f.rstrip("/").rpartition("/")[2]: readers.read_collection(spark, f, a.split) for f in a.folders}
+    run, qrels = evaluation.runs(found, evaluation.bm25 if a.kind == "bm25" else evaluation.encoded(a.encoder), a.depth)
+    sinks.write_csv(evaluation.report(run, qrels, a.run_id, a.split, None if a.kind == "bm25" else {"encoder": a.encoder}), f"{a.output}/metrics")
+    sinks.write_jsonl(evaluation.details(run, qrels), f"{a.output}/details")
+
+
+def follow_runs(spark, a) -> None:
+    """Takes in what is new in a folder of run records, and writes the board."""
+    board = RunBoard(spark, a.board, higher=not a.lower)
+    board.follow(spark.readStream.schema("run string, step long, value double").json(a.records))
+    if board.best() is not None:
+        board.best().write.mode("overwrite").json(a.output)
+
+
+def teacher_store(spark, a) -> None:
+    rows = mixing.numbered(readers.read_records(spark, a.input).where(F.col(a.text).isNotNull() & (F.col(a.text) != "")), a.id)
+    encoded_store(rows, a.text, lambda d: models.encode(d, "text", a.encoder), a.output, {"teacher_model_name": a.encoder})
+
+
+def mix(spark, a) -> None:
+    parts = {p.rstrip("/").rpartition("/")[2].split(".")[0]: readers.read_records(spark, p) for p in a.inputs}
+    if a.keep_proportions:
+        every = sampling.mixed_datasets(parts, a.key, a.seed).drop("place")
+        mixed = sampling.interleaved(every, "dataset_name", a.key, a.seed)
+    else:
+        mixed = sampling.mixed_datasets(parts, a.key, a.seed, {n: a.size for n in parts} if a.size else None, a.key)
+    sinks.write_parquet(mixed, a.output)
+
+
 def mine(spark, a) -> None:
     corpus, queries, qrels = readers.read_corpus(spark, a.corpus), readers.read_queries(spark, a.queries), readers.read_qrels(spark, a.qrels)
     asked = queries.join(qrels.select("qid").distinct(), "qid", "left_semi")
@@ -71,8 +108,12 @@ def parser() -> argparse.ArgumentParser:
 
     need = {"required": True}
     add("evaluate", evaluate, ("--task", {"choices": ["qa", "paraphrase"], **need}), ("--input", need), ("--output", need), ("--prediction", {"default": "answer"}), ("--answer", {}), ("--original", {"default": "s_wiki_content"}), ("--candidate", {"default": "paraphrase"}))
-    add("build-index", build_index, ("--input", need), ("--output", need), ("--kind", {"choices": ["bm25", "dense"], "default": "dense"}), ("--encoder", {"default": "hashing"}), ("--text", {"default": "s_wiki_content"}), ("--id", {"default": "id"}))
+    add("build-index", build_index, ("--input", need), ("--output", need), ("--kind", {"choices": ["bm25", "dense", "ivf"], "default": "dense"}), ("--lists", {"type": int}), ("--encoder", {"default": "hashing"}), ("--text", {"default": "s_wiki_content"}), ("--id", {"default": "id"}))
     add("evaluate-collection", evaluate_collection, ("--folder", need), ("--output", need), ("--split", {"default": "test"}), ("--kind", {"choices": ["bm25", "dense"], "default": "bm25"}), ("--encoder", {"default": "hashing"}), ("--depth", {"type": int, "default": 100}))
+    add("evaluate-collections", evaluate_collections, ("--folders", {"nargs": "+", **need}), ("--output", need), ("--split", {"default": "test"}), ("--kind", {"choices": ["bm25", "dense"], "default": "bm25"}), ("--encoder", {"default": "hashing"}), ("--depth", {"type": int, "default": 20}), ("--run-id", {"default": "run"}))
+    add("follow-runs", follow_runs, ("--records", need), ("--board", need), ("--output", need), ("--lower", {"action": "store_true"}))
+    add("teacher-store", teacher_store, ("--input", need), ("--output", need), ("--encoder", {"default": "hashing"}), ("--text", {"default": "text"}), ("--id", {"default": "id"}))
+    add("mix", mix, ("--inputs", {"nargs": "+", **need}), ("--output", need), ("--key", need), ("--seed", {"default": "42"}), ("--size", {"type": int}), ("--keep-proportions", {"action": "store_true"}))
     add("mine-negatives", mine, ("--corpus", need), ("--queries", need), ("--qrels", need), ("--output", need), ("--n", {"type": int, "default": 3}), ("--random", {"type": int, "default": 2}), ("--seed", {"default": "42"}))
     add("split", split, ("--input", need), ("--output", need), ("--key", need), ("--share", {"type": float, "default": 0.1}), ("--seed", {"default": "42"}))
     return p
