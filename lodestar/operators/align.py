@@ -127,11 +127,17 @@ def augmented(df: DataFrame, key: str = "id", seed: str = "align") -> DataFrame:
         return F.get(a, F.floor(u(salt) * F.size(a)).cast("int"))
 
     first = F.get(F.col("text_b"), F.lit(0))
-    ring = ranked_within(df, "task", [T.hash_order(F.col(key), seed + "next"), F.col(key)], "_at", "_of")
-    after = ring.select(F.col("task").alias("_t"), F.col("_at").alias("_n"), first.alias("_other"))
-    rows = ring.join(after, F.col("task").eqNullSafe(F.col("_t")) & (F.col("_n") == F.col("_at") % F.col("_of") + 1)).drop("_at", "_of", "_t", "_n")
     kind = F.create_map(*[F.lit(x) for t, (k, _) in TASKS.items() for x in (t, k)])[F.col("task")]
     how = F.create_map(*[F.lit(x) for t, (_, h) in TASKS.items() for x in (t, h)])[F.col("task")]
+    # only rows that may need another row's text look for it; the ring itself holds keys alone
+    lone = how.isin("sampled", "first_or_sampled") & (F.coalesce(F.size("text_c"), F.lit(0)) <= 0)
+    ring = ranked_within(df.select("task", key), "task", [T.hash_order(F.col(key), seed + "next"), F.col(key)], "_at", "_of")
+    after = ring.select(F.col("task").alias("_t"), F.col("_at").alias("_n"), F.col(key).alias("_next"))
+    wanted = ring.join(df.where(lone).select("task", key).distinct(), ["task", key], "left_semi")
+    wanted = wanted.join(after, (F.col("task") == F.col("_t")) & (F.col("_n") == F.col("_at") % F.col("_of") + 1)).select("task", F.col(key).alias("_k0"), "_next")
+    texts = df.join(wanted.select("task", F.col("_next").alias(key)).distinct(), ["task", key], "left_semi").groupBy("task", F.col(key).alias("_next")).agg(F.min(first).alias("_other"))
+    found = wanted.join(texts, ["task", "_next"]).groupBy(F.col("task").alias("_t"), "_k0").agg(F.min("_other").alias("_other"))
+    rows = df.join(found, (F.col("task") == F.col("_t")) & (F.col(key) == F.col("_k0")), "left").drop("_t", "_k0")
     label = F.when((kind == "tri") & (F.col("orig_label") == -1), F.lit(1.0)).otherwise(F.col("orig_label"))
     can_self = F.col("task").isin("nli", "fact_checking", "paraphrase")
     same = can_self & (u("self") < 0.05)
