@@ -153,6 +153,20 @@ def test_bm25_search_reads_few_postings(spark, monkeypatch, small):
     assert 0 < sum(looked) < 0.8 * every
 
 
+def test_bm25_search_broadcasts_the_terms_of_some_queries_at_once(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(zipf_texts(300, 5))), "d long, text string").repartition(3)
+    queries = spark.createDataFrame([(i, " ".join(t.split()[:6])) for i, t in enumerate(zipf_texts(60, 6))], "q long, text string")
+    index = lexical.build(docs, "d", "text", block=50)
+    want = sorted((r.qid, r["rank"], r.did, r.score) for r in lexical.top_k(lexical.scores(index, queries, "q", "text"), 4).collect())
+    monkeypatch.setattr(lexical, "QUERIES", 15)
+    monkeypatch.setattr(lexical, "SMALL", 150)
+    sent, plain = [], F.broadcast
+    monkeypatch.setattr(lexical.F, "broadcast", lambda df: (sent.append(df.select(F.sum(F.size("qid")) if "late" in df.columns else F.count("*")).first()[0] or 0), plain(df))[1])
+    assert sorted((r.qid, r["rank"], r.did, r.score) for r in lexical.search(index, queries, "q", "text", 4).collect()) == want
+    assert lexical.asked_terms(index, queries, "q", "text").count() > 200
+    assert 0 < max(sent) <= 150
+
+
 def test_bm25_search_equals_scoring_all_hits(spark, sf):
     index = shared.bm25(spark, sf)
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
