@@ -362,3 +362,17 @@ def test_missing_curve_and_first_token(spark, tmp_path):
     assert readers.read_curve(spark, str(tmp_path / "none.csv")).collect() == []
     rows = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0]],), ([],), (None,)], "t array<array<double>>")
     assert [r.c for r in rows.select(V.cls_token(F.col("t")).alias("c")).collect()] == [[1.0, 2.0], None, None]
+
+
+def test_relevance_by_label_equals_its_pairs(spark, monkeypatch):
+    rows = [(i, "abc"[i % 3]) for i in range(40)] + [(40, None), (None, "a"), (41, "alone"), (0, "b"), (3, "a"), (3, "a"), (1, "b")]
+    v = spark.createDataFrame(rows, "vec_id long, label string")
+    asked = v.where("vec_id % 4 = 0 or vec_id in (1, 3, 41)")
+    pairs = asked.select(F.col("vec_id").alias("qid"), "label").join(v.select(F.col("vec_id").alias("did"), "label"), "label").where("qid <> did").select("qid", "did")
+    run = spark.createDataFrame([(q, d, r) for q in range(0, 42) for r, d in enumerate([q, (q * 7) % 40, (q + 3) % 40, 40, 41], 1)], "qid long, did long, rank int")
+    want, gold = sorted(map(tuple, ranking.per_query(run, pairs).collect())), pairs.collect()
+    tops = sorted((q, d) for q in {r.qid for r in gold} for d in sorted(r.did for r in gold if r.qid == q)[:3])
+    monkeypatch.setattr(ranking, "per_query", None)
+    assert sorted(map(tuple, ranking.per_query_by_label(run, v, asked, "vec_id", "label").collect())) == want
+    found = ranking.first_of_label(v, asked, "vec_id", "label", 3)
+    assert sorted(map(tuple, found.collect())) == tops
