@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,10 +102,43 @@ def stacked(batched: DataFrame, first: str, second: str, out: str = "vec") -> Da
     return rows.select("batch_id", F.explode(both).alias("_r")).select("batch_id", F.col("_r.slot").cast("int").alias("slot"), F.col("_r.v").alias(out))
 
 
+def _products(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """[a, b] inner products rounded to 6 places; NaN where a vector is null, has a null, or the two differ in length."""
+    sides = []
+    for column in (a, b):
+        rows = [None if v is None or any(x is None for x in v) else v for v in column.to_pylist()]
+        size = np.array([-1 if v is None else len(v) for v in rows])
+        sides.append((rows, size))
+    width = max([1, *(int(size.max()) for _, size in sides if len(size))])
+    one, two = (np.array([(v or []) + [0.0] * (width - len(v or [])) for v in rows], np.float64).reshape(-1, width) for rows, _ in sides)
+    same = (sides[0][1][:, None] == sides[1][1][None, :]) & (sides[0][1][:, None] >= 0)
+    return np.where(same, np.round(one @ two.T, 6), np.nan)
+
+
+def _log_softmax(s: np.ndarray) -> np.ndarray:
+    """By rows, NaN left out."""
+    top = np.fmax.reduce(s, axis=1, keepdims=True)
+    return s - top - np.log(np.nansum(np.exp(s - top), axis=1, keepdims=True))
+
+
 def ranking_distilled_loss(batched: DataFrame, student: tuple[str, str], teacher: tuple[str, str], weight: float, scale: float = 20.0, temperature: float = 2.0) -> DataFrame:
     """(batch_id, mnr, kl, loss): multiple negatives ranking of (query, positive), and weight times the KL of the teacher's to the student's
-    similarities among all queries and positives of the batch (X9)."""
-    mnr = in_batch_softmax_loss(similarities(batched, *student), scale).withColumnRenamed("loss", "mnr")
-    own, other = (similarities(stacked(batched, *pair), "vec", "vec") for pair in (student, teacher))
-    kl = self_similarity_kl(own, other, temperature).withColumnRenamed("loss", "kl")
-    return mnr.join(kl, "batch_id").select("batch_id", "mnr", "kl", F.round(F.col("mnr") + F.lit(float(weight)) * F.col("kl"), 5).alias("loss"))
+    similarities among all queries and positives of the batch (X9).
+
+    A batch is one group, so its similarities are matrix products where its rows are; no pair becomes a row.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        vectors = {c: t.column(c).combine_chunks() for c in {*student, *teacher}}
+        vectors = {c: pa.concat_arrays(v.chunks) if isinstance(v, pa.ChunkedArray) else v for c, v in vectors.items()}
+        own = -np.diagonal(_log_softmax(_products(vectors[student[0]], vectors[student[1]]) * scale))
+        own = own[~np.isnan(own)]
+        both = [pa.concat_arrays([vectors[x], vectors[y]]) for x, y in (student, teacher)]
+        s, t_ = (_log_softmax(_products(v, v) / temperature) for v in both)
+        each = np.exp(t_) * (t_ - s)
+        kl = np.nansum(each) / len(each) * temperature**2 if not np.isnan(each).all() else None
+        return pa.table({"batch_id": t.column("batch_id")[:1], "mnr": pa.array([own.mean() if len(own) else None], pa.float64()), "kl": pa.array([kl], pa.float64())})
+
+    rows = batched.select("batch_id", *[F.col(c).cast("array<double>").alias(c) for c in sorted({*student, *teacher})])
+    found = rows.groupBy("batch_id").applyInArrow(run, "batch_id long, mnr double, kl double").select("batch_id", F.round("mnr", 6).alias("mnr"), F.round("kl", 6).alias("kl"))
+    return found.select("batch_id", "mnr", "kl", F.round(F.col("mnr") + F.lit(float(weight)) * F.col("kl"), 5).alias("loss"))

@@ -376,3 +376,15 @@ def test_relevance_by_label_equals_its_pairs(spark, monkeypatch):
     assert sorted(map(tuple, ranking.per_query_by_label(run, v, asked, "vec_id", "label").collect())) == want
     found = ranking.first_of_label(v, asked, "vec_id", "label", 3)
     assert sorted(map(tuple, found.collect())) == tops
+
+
+def test_distilled_loss_makes_no_row_of_a_pair(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(i // 4, i % 4, *[None if i == 6 and c == 2 else rng.normal(size=5).round(3).tolist() for c in range(3)]) for i in range(11)]
+    b = spark.createDataFrame(rows, "batch_id long, slot int, vec array<float>, pos array<float>, neg array<float>")
+    mnr = {r.batch_id: r.loss for r in batch_eval.in_batch_softmax_loss(batch_eval.similarities(b, "vec", "pos"), 20.0).collect()}
+    sims = [batch_eval.similarities(batch_eval.stacked(b, *p), "vec", "vec") for p in (("vec", "pos"), ("pos", "neg"))]
+    kl = {r.batch_id: r.loss for r in batch_eval.self_similarity_kl(*sims, 2.0).collect()}
+    monkeypatch.setattr(batch_eval, "similarities", None)
+    got = batch_eval.ranking_distilled_loss(b, ("vec", "pos"), ("pos", "neg"), 0.5).collect()
+    assert {r.batch_id: pytest.approx((mnr[r.batch_id], kl[r.batch_id]), abs=2e-6) for r in got} == {r.batch_id: (r.mnr, r.kl) for r in got} and len(got) == 3
