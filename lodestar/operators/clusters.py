@@ -227,6 +227,21 @@ def _ask(index: Lists, queries: DataFrame, choose: Callable) -> DataFrame:
     return asked.select("list", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "q_ids", "q_vecs", "q_least")
 
 
+def _best(s: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's k greatest finite values, none below the row's least; of equal ones those of the first columns.
+
+    Only rows with more than k such values are parted, and no row is sorted.
+    """
+    may = np.isfinite(s) & (s >= least[:, None])
+    many = np.flatnonzero(may.sum(1) > k)
+    if len(many):
+        part = np.where(may[many], s[many], -np.inf)
+        floor = np.partition(part, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        over, tie = part > floor[:, None], part == floor[:, None]
+        may[many] = over | (tie & (np.cumsum(tie, axis=1) <= (k - over.sum(1))[:, None]))
+    return np.nonzero(may)
+
+
 def _products(blocks: DataFrame, asked: DataFrame, k: int, metric: str, skip_self: bool) -> DataFrame:
     """(qid, did, score): of each block at most k rows a query, none below the query's least score."""
 
@@ -244,11 +259,8 @@ def _products(blocks: DataFrame, asked: DataFrame, k: int, metric: str, skip_sel
                 s = np.round(s, 6) + 0.0
                 if skip_self:
                     s[qi[:, None] == di[None, :]] = -np.inf
-                n = min(k, len(di))
-                best = np.argsort(-s, axis=1, kind="stable")[:, :n]  # a block's rows stand in the order of their ids
-                got = np.take_along_axis(s, best, 1)
-                ok = (np.isfinite(got) & (got >= least[:, None])).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, n)[ok]), pa.array(di[best].ravel()[ok]), pa.array(got.ravel()[ok])], ["qid", "did", "score"])
+                at, best = _best(s, least, k)
+                yield pa.RecordBatch.from_arrays([pa.array(qi[at]), pa.array(di[best]), pa.array(s[at, best])], ["qid", "did", "score"])
 
     return asked.join(blocks, ["list", "part"]).mapInArrow(run, _HITS)
 

@@ -64,6 +64,18 @@ def test_bounded_search_is_exact_and_skips_lists(spark, metric, monkeypatch):
     assert 0 < products < 0.7 * len(v) * len(got)
 
 
+def test_best_of_a_block_are_parted_not_sorted(monkeypatch):
+    rng = np.random.default_rng(2)
+    s = rng.integers(0, 6, (40, 50)).astype(float)  # many ties
+    s[3], s[4, :48] = -np.inf, -np.inf
+    s[5] = 1.0
+    least = np.where(np.arange(40) % 3 == 0, 4.0, -np.inf)
+    want = {(q, int(j)) for q in range(40) for j in np.argsort(-s[q], kind="stable")[:7] if np.isfinite(s[q, j]) and s[q, j] >= least[q]}
+    monkeypatch.setattr(clusters.np, "argsort", None)
+    at, best = clusters._best(s, least, 7)
+    assert sorted(zip(at.tolist(), best.tolist(), strict=True)) == sorted(want)
+
+
 def test_inverted_file(spark, tmp_path):
     v = around(1200, 30, 6, 0.2, seed=3)
     rows = vectors(spark, v)
