@@ -8,7 +8,9 @@ for each distinct word. Ids fall into ROWS rows by a fixed hash and rows into CL
 on top of the training tokens' counts of a class after a row; the row given its class and the row before, and the id
 given its row, are shares of those counts. After its first id a word is as frequent as in the training
 tokens, backed off to the chain:
-P(word) = P(first | context) * (c + g * P(rest | first)) / (c_first + g). Kinds of words grow as a power of the
+P(word) = P(first | context) * (c + g * P(rest | first)) / (c_first + g). An id of a chain longer than CHAIN is predicted in
+overlapping windows of the chain, as first ids are in those of the text: whether the chain stops there has the stop's plain share, and
+if it doesn't, attention gives the id. So a text without white space, which is one word, is read whole. Kinds of words grow as a power of the
 tokens (Heaps), so g is FEW and a share of c_first ** HEAPS that sums to BACK_OFF * V over the first ids.
 
 Training: word counts and id counts cover every training text. The layers are trained on every word of
@@ -39,7 +41,7 @@ from lodestar.llm.packing import _fast
 
 FOLDS, HELD = 7, 2
 DIM, ROWS, CLASSES, OWN, HALF = 16, 512, 96, 64, 16
-CHAIN = 8  # ids of a word that attention sees
+CHAIN = 8  # ids of a word that one window sees; those after them are seen by further windows
 REMEMBERED = 200_000  # words whose ids a worker remembers
 SPLIT = 8 << 20  # bytes of an input file's split that make a block of their own
 ROUNDS, RATE, STEP, WORDS_STEP = 1, 0.02, 512, 2048
@@ -205,6 +207,19 @@ class Vocabulary:
         rows = self.row[x]
         return layer.class_log(rows, pad, self.cls[target]) + self.after[rows[:, rows.shape[1] - target.shape[1] :], self.row[target]] + self.share[target]
 
+    def going_on(self, layer: Layer, x: np.ndarray, pad: np.ndarray | None, target: np.ndarray) -> np.ndarray:
+        """As `log`, given that the target isn't STOP: shares of all ids but that one."""
+        rows, own = self.row[x], self.row[target].ravel()
+        logit = layer.forward(rows, pad, target.shape[1])[-1]
+        logit = logit - logit.max(1, keepdims=True)
+        logit -= np.log(np.exp(logit).sum(1, keepdims=True))
+        some, first = np.unique(self.row, return_index=True)  # rows that have an id
+        each = logit[:, self.cls[first]] + self.after[rows[:, rows.shape[1] - target.shape[1] :].ravel()][:, some]
+        share = np.ones(len(some))
+        share[np.searchsorted(some, self.row[STOP])] = -np.expm1(min(float(self.share[STOP]), -1e-6))
+        out = each[np.arange(len(own)), np.searchsorted(some, own)] - np.log(np.exp(each.astype(np.float64)) @ share)
+        return out.reshape(target.shape) + self.share[target]
+
 
 def ids_of(words: list[bytes], tokenizer: str) -> list[list[int]]:
     """Subword ids of each word, moved up by SPECIAL."""
@@ -268,7 +283,7 @@ class Block:
 
 
 def _chains(ids: list[list[int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Chains of equal length together: (their places, input ids, target ids). A chain longer than CHAIN is cut there and has no stop."""
+    """Chains of equal length together: (their places, input ids, target ids). Of a chain longer than CHAIN the first window, which has no stop; `_further` has the others."""
     lens = np.array([min(len(i), CHAIN + 1) for i in ids], np.int64)
     order = np.argsort(lens, kind="stable")
     for n in np.unique(lens).tolist():
@@ -298,6 +313,30 @@ def _windows(seq: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return x, pad_in, target, np.where(pad, -1, place)[:, HALF:]
 
 
+def _further(ids: list[list[int]], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The ids of chains after the first CHAIN + 1 in overlapping windows, `most` at a time: (the window's chain, input ids [n, 2 HALF], padding, target
+    ids [n, HALF], which are real)."""
+    at, begin = [], []
+    for k, chain in enumerate(ids):
+        if len(chain) > CHAIN + 1:
+            some = np.arange(CHAIN + 1, len(chain), HALF)
+            at.append(np.full(len(some), k))
+            begin.append(some)
+    if not at:
+        return
+    at, begin = np.concatenate(at), np.concatenate(begin)
+    for lo in range(0, len(at), most):
+        own, first = at[lo : lo + most], begin[lo : lo + most]
+        chains, which = np.unique(own, return_inverse=True)
+        size = np.array([len(ids[k]) for k in chains], np.int64)
+        flat = np.concatenate([np.asarray(ids[k], np.int64) for k in chains])
+        base = (np.cumsum(size) - size)[which][:, None]
+        place = first[:, None] + np.arange(-HALF - 1, HALF - 1)[None, :]  # of the inputs: the ids before the targets
+        target = first[:, None] + np.arange(HALF)[None, :]
+        live = target < size[which][:, None]
+        yield own, flat[base + np.clip(place, 0, size[which][:, None] - 1)], place < 0, np.where(live, flat[base + np.where(live, target, 0)], 0), live
+
+
 @dataclass
 class Model:
     tokenizer: str
@@ -308,7 +347,7 @@ class Model:
     tokens: int
     kinds: int
     heads: np.ndarray  # counts of first ids
-    plain: np.ndarray  # natural log of a further id's plain share
+    plain: np.ndarray  # natural log of a further id's plain share; of STOP's past the first window
     spare: np.ndarray  # g of each first id
 
     def rest_log(self, ids: list[list[int]], layer: Layer) -> np.ndarray:
@@ -318,10 +357,10 @@ class Model:
             for lo in range(0, len(at), 4096):
                 s = slice(lo, lo + 4096)
                 out[at[s]] = self.rest.log(layer, x[s], None, target[s]).sum(1)
-        for k, chain in enumerate(ids):  # ids beyond those attention sees go by their plain share, and so does the stop after them
-            if len(chain) > CHAIN:
-                tail = np.array(chain[CHAIN + 1 :], np.int64)
-                out[k] += self.plain[tail].sum() + self.plain[STOP]
+        on = np.log1p(-np.exp(self.plain[STOP]))  # past the first window a chain stops by the plain share
+        for own, x, pad, target, live in _further(ids, 512):
+            np.add.at(out, own, np.where(live, self.rest.going_on(layer, x, pad, target) + on, 0.0).sum(1))
+        out[[k for k, chain in enumerate(ids) if len(chain) > CHAIN]] += self.plain[STOP]
         return out
 
 
@@ -446,6 +485,8 @@ def _trained(docs: DataFrame, model: Model) -> Model:
                         own = mixed[at : at + WORDS_STEP]
                         lives = np.broadcast_to(times[some[own]][:, None], follows[own].shape)
                         optimisers[1].step(layers[1].gradient(model.rest.row[chain[own]], None, model.rest.cls[follows[own]], lives, model.rest.prior))
+                for own, chain, pad_, follows, real in _further(ids, STEP):
+                    optimisers[1].step(layers[1].gradient(model.rest.row[chain], pad_, model.rest.cls[follows], real * times[own][:, None], model.rest.prior))
         if weight:
             flat = np.concatenate([x.flat for x in layers]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * size)), pa.array(flat * weight), pa.array(np.full(2 * size, float(weight)))], ["i", "x", "w"])

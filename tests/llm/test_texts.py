@@ -387,6 +387,27 @@ def test_lm_probabilities_sum_to_one(spark):
     assert abs((ended + sum(longer)) / np.exp(steps) - 1) < 1e-4
 
 
+def test_lm_reads_long_chains_whole():
+    """Every id of a chain, as of a text without white space, depends on the ids before it; ways on from any place sum to one."""
+    rng = np.random.default_rng(2)
+    size = 40
+    counts, pairs = rng.integers(0, 9, size).astype(float), rng.integers(0, 5, (lm.ROWS, lm.ROWS)).astype(float)
+    vocab = lm.Vocabulary.of(counts, pairs)
+    layer = lm.Layer(rng.normal(0, 0.3, lm.Layer.size()))
+    layer.prepare(vocab.prior)
+    plain = np.log((counts + 0.05) / (counts + 0.05).sum())
+    model = lm.Model("", vocab, vocab, layer.flat, layer.flat, 1, 1, counts, plain, counts)
+    for n in (lm.CHAIN + 2, lm.CHAIN + 1 + lm.HALF, 75, 20_000):
+        chain = rng.integers(3, size, n).tolist()
+        base = model.rest_log([[5], chain], layer)[1]
+        turned = [*chain[:-2], chain[-1], chain[-2]] if chain[-1] != chain[-2] else [*chain[:-3], chain[-2], chain[-3], chain[-1]]
+        assert abs(model.rest_log([turned], layer)[0] - base) > 1e-9  # the same ids in another order at the end
+        ended = model.rest_log([chain], layer)[0]
+        on = [model.rest_log([[*chain, x]], layer)[0] - plain[lm.STOP] for x in range(size) if x != lm.STOP]
+        before = ended - plain[lm.STOP]
+        assert abs(np.exp(np.array([ended, *on]) - before).sum() - 1) < 1e-3
+
+
 def test_lm_takes_any_plan(spark, tmp_path):
     """A join of two files, a repartitioned and a united table are scored like a plain scan; a split makes several blocks."""
     rng = random.Random(6)
