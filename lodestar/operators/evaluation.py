@@ -34,10 +34,13 @@ def encoded(encoder: str, metric: str = "ip") -> Retriever:
 
 
 def runs(collections: dict[str, tuple[DataFrame, DataFrame, DataFrame]], retrieve: Retriever, depth: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(dataset, qid, did, score, rank) and (dataset, qid, did) of all collections (corpus, queries, qrels); a collection's counts are its own."""
+    """(dataset, qid, did, score, rank) and (dataset, qid, did) of all collections (corpus, queries, qrels); a collection's counts are its own.
+
+    A corpus is read from its lines once and stored, since retrievers read it several times.
+    """
     found, judged = [], []
     for name, (corpus, queries, qrels) in collections.items():
-        found.append(retrieve(corpus, queries, depth).select(F.lit(name).alias("dataset"), "qid", "did", "score", "rank"))
+        found.append(retrieve(kept(corpus), queries, depth).select(F.lit(name).alias("dataset"), "qid", "did", "score", "rank"))
         judged.append(qrels.select(F.lit(name).alias("dataset"), "qid", "did"))
     return kept(reduce(DataFrame.unionByName, found)), reduce(DataFrame.unionByName, judged)
 

@@ -82,15 +82,18 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     if n <= 0:
         return code[:0], np.zeros(0, np.int64)
     rank = _order(code)
-    least = np.arange(n)  # where the least gram of the window that begins here stands: halves of windows are joined
     step = 1
-    at = np.arange(len(code))
+    at = np.arange(len(code))  # where the least gram of the window that begins here stands, and its rank: halves of windows are joined
+
+    def joined(far: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        later = rank[far : far + size] < rank[:size]
+        return np.where(later, rank[far : far + size], rank[:size]), np.where(later, at[far : far + size], at[:size])
+
     while 2 * step <= WINDOW:
-        left, right = at[: len(at) - step], at[step:]
-        at = np.where(rank[right] < rank[left], right, left)
+        rank, at = joined(step, len(at) - step)
         step *= 2
-    left, right = at[:n], at[WINDOW - step : WINDOW - step + n]
-    least = np.unique(np.where(rank[right] < rank[left], right, left))
+    _, least = joined(WINDOW - step, n)
+    least = least[np.r_[True, least[1:] > least[:-1]]]  # a later window's first least gram never stands before
     return code[least], least
 
 
