@@ -215,6 +215,23 @@ def test_a_repeat_behind_decoys_is_found(spark):
     assert (3, 1, 90, 290) in {(r.doc_id, r.other_id, r.begin, r.end) for r in got}
 
 
+def test_edited_passages_behind_unlike_documents_are_found(spark):
+    """Lesser documents that share parts of a passage, too short to be like it, stand before the edited text that it repeats, and between the two."""
+    rng = random.Random(12)
+    rows, wanted = [], set()
+    for t in range(12):
+        word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+        own = [word() for _ in range(60)]
+        around = lambda part: " ".join([*(word() for _ in range(40)), *part, *(word() for _ in range(40))])
+        for first in (0, 600):
+            rows += [(t * 1000 + first + k, around(own[2 * k : 2 * k + 32])) for k in range(15)]
+        rows += [(t * 1000 + 500, around([*own[:30], word(), *own[31:]])), (t * 1000 + 900, around(own))]
+        wanted.add((t * 1000 + 900, t * 1000 + 500))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {(r.doc_id, r.other_id) for r in substrings.repeated_passages(df).collect()}
+    assert wanted <= got, len(wanted - got)
+
+
 def test_recall_of_edited_passages(spark):
     """By brute force: planted passages whose shingle sets have a similarity of 0.8, 0.85 or 0.9 and somewhat more."""
     rng = random.Random(17)
