@@ -261,3 +261,12 @@ def test_session_index_follows_its_table(spark, tmp_path):
     docs("a b", "c").write.mode("overwrite").parquet(at)
     assert spark.read.parquet(shared.written(spark, at, "try", broken)).count() == 2
     assert shared.bm25(spark, str(tmp_path)).stats.first()["n"] == 2
+
+
+def test_a_block_is_full_by_tokens():
+    """Long documents don't make a block of any size: it ends with the document that fills it, wherever a batch ends."""
+    dl = np.full(4096, 20_000)
+    assert lexical._room(dl, lexical.DOCS, lexical.TOKENS) == 50
+    assert lexical._room(dl, lexical.DOCS, lexical.TOKENS - 990_000) == 1
+    assert lexical._room(dl[:3], lexical.DOCS, lexical.TOKENS) == 3 and lexical._room(dl, 7, lexical.TOKENS) == 7
+    assert lexical._room(np.zeros(9, int), 20, 100) == 9
