@@ -232,6 +232,26 @@ def test_edited_passages_behind_unlike_documents_are_found(spark):
     assert wanted <= got, len(wanted - got)
 
 
+def test_links_of_a_notice_in_other_surroundings_follow_the_documents(spark, monkeypatch):
+    """A notice too short to be a passage stands in all documents; a passage edited in it is found all the same."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    notice, own = [word() for _ in range(36)], [word() for _ in range(30)]
+    texts = [[*(word() for _ in range(30)), *notice, *(word() for _ in range(30))] for _ in range(400)]
+    texts[150][66:] = own
+    texts[390][66:] = [*own[:8], word(), *own[9:]]
+    links, checked = [], substrings._checked
+
+    def counted(docs, df, threshold):
+        links.append(df.count())
+        return checked(docs, df, threshold)
+
+    monkeypatch.setattr(substrings, "_checked", counted)
+    got = substrings.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert (390, 150) in {(r.doc_id, r.other_id) for r in got}
+    assert links[1] < 64 * 400, links
+
+
 def test_recall_of_edited_passages(spark):
     """By brute force: planted passages whose shingle sets have a similarity of 0.8, 0.85 or 0.9 and somewhat more."""
     rng = random.Random(17)
