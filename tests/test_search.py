@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestar.operators import clusters, dense, grams, lexical, negatives
@@ -179,6 +180,26 @@ def test_bm25_search_broadcasts_the_terms_of_some_queries_at_once(spark, monkeyp
     assert 0 < max(sent) <= 150
 
 
+@pytest.mark.parametrize("cells", [lexical.CELLS, 500])
+def test_a_block_scores_its_queries_together(spark, monkeypatch, cells):
+    """As tables of a bounded number of scores, not query by query; the best are those of all hits."""
+    docs = spark.createDataFrame(list(enumerate(zipf_texts(100, 7))), "d long, text string").coalesce(1)
+    queries = spark.createDataFrame([(i, " ".join(t.split()[:6])) for i, t in enumerate(zipf_texts(300, 8))], "q long, text string")
+    index = lexical.build(docs, "d", "text")
+    avgdl = index.stats.first()["avgdl"]
+    tail = F.sum("up").over(Window.partitionBy("qid").orderBy("up", "term"))
+    asked = lexical.asked_terms(index, queries, "q", "text").withColumn("late", tail < 2).withColumn("rest", F.lit(2.0)).withColumn("least", F.lit(2.0))
+    asks = asked.groupBy("term").agg(F.first("idf").alias("idf"), *[F.collect_list(c).alias(c) for c in ("qid", "late", "least", "rest")], F.collect_list(F.lit(4)).alias("want"))
+    block = index.blocks.select("term", "most", *[F.col(f"entries.{c}").alias(c) for c in ("did", "tf", "dl")]).join(asks, "term").toArrow()
+    rounded, plain = [], np.round
+    monkeypatch.setattr(lexical.np, "round", lambda *x: (rounded.append(1), plain(*x))[1])
+    monkeypatch.setattr(lexical, "CELLS", cells)
+    got = sorted((r["qid"], -r["score"], r["did"]) for r in lexical.scored_block(block, avgdl)[0].to_pylist())
+    assert len(rounded) <= 300 * 100 / cells + 1
+    want = sorted((r.qid, -r.score, r.did) for r in lexical.top_k(lexical.scores(index, queries, "q", "text"), 4).collect())
+    assert [(q, d) for q, _, d in got] == [(q, d) for q, s, d in want if s <= -2] and len(got) > 500
+
+
 def test_bm25_search_equals_scoring_all_hits(spark, sf):
     index = shared.bm25(spark, sf)
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
